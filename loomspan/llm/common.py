@@ -56,6 +56,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bits of the largest Bloom filter that is sent to the workers: 32 MB. With more keys it passes more, and stays right.
+BLOOM_BITS = 2**28
+
+
+class Bloom:
+    """A Bloom filter of `keys` (one column): wide rows can be told apart where they are read. Among the rows within are all
+    whose key is there, and a few percent of the others; a join with the keys makes it exact."""
+
+    def __init__(self, keys: DataFrame):
+        name, spark = keys.columns[0], keys.sparkSession
+        self.bits = min(BLOOM_BITS, 1 << max(10, int(16 * keys.count()).bit_length()))
+        ones = keys.select(F.explode(F.array(*self._places(F.col(name)))).alias("p"))
+        words = np.zeros(self.bits // 64, np.int64)
+        for r in ones.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(self._bit(F.col("p"))).alias("b")).collect():
+            words[r.w] = r.b
+        self.row = spark.createDataFrame(pa.table({"__bloom": pa.array([words], pa.list_(pa.int64()))}))  # one row of at most BLOOM_BITS
+
+    def _places(self, key: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(F.lit(i), key.cast("long")), F.lit(self.bits)) for i in range(3)]
+
+    @staticmethod
+    def _bit(place: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+
+    def _split(self, rows: DataFrame, key: str, within: bool) -> DataFrame:
+        held, hit = fresh(rows, "__bloom"), F.lit(True)
+        for p in self._places(F.col(key)):
+            hit = hit & (F.get(F.col(held), F.floor(p / 64).cast("int")).bitwiseAND(self._bit(p)) != 0)
+        return rows.crossJoin(F.broadcast(self.row.withColumnRenamed("__bloom", held))).filter(hit if within else ~hit).drop(held)
+
+    def within(self, rows: DataFrame, key: str) -> DataFrame:
+        return self._split(rows, key, True)
+
+    def outside(self, rows: DataFrame, key: str) -> DataFrame:
+        return self._split(rows, key, False)
+
+
 def seeded_hex(seed: int | str, *cols: Column) -> Column:
     """md5 of the seed and the columns, as hex: the same in any engine. A null counts as '~'."""
     parts = [F.lit(str(seed))] + [F.coalesce(c.cast("string"), F.lit("~")) for c in cols]

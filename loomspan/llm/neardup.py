@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HASH_A, HASH_B, PrefixHash, chunks, fresh, mix, text_bytes, words, written
+from .common import HASH_A, HASH_B, Bloom, PrefixHash, chunks, fresh, mix, text_bytes, words, written
 
 #: Registers are max(floor(1 - log_b h)) clipped to 0..Q+1, h being exponential with rate A: 16 bits each.
 REGISTERS, BASE, RATE, Q = 160, 1.001, 20.0, 2**16 - 2
@@ -154,13 +154,16 @@ def _verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, threshold: fl
             rows = [np.frombuffer(b"".join(x), "<u2").reshape(-1, REGISTERS) for x in (u, v)]
             yield pd.Series(joint_jaccard(*rows))
 
-    s = heads.select("doc_id", "sketch")
-    with_sketches = pairs.join(s.withColumnsRenamed({"doc_id": "a", "sketch": "u"}), "a").join(s.withColumnsRenamed({"doc_id": "b", "sketch": "v"}), "b")
-    estimated = written(with_sketches.select("a", "b", F.pandas_udf(estimate, "double")("u", "v").alias("j")), "estimated")
+    pairs = written(pairs, "pairs")
+    s = Bloom(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()).within(heads.select("doc_id", "sketch"), "doc_id")
+    with_sketches = pairs.join(s.withColumnsRenamed({"doc_id": "a", "sketch": "u"}).hint("merge"), "a").join(s.withColumnsRenamed({"doc_id": "b", "sketch": "v"}).hint("merge"), "b")
+    scored = with_sketches.select("a", "b", F.pandas_udf(estimate, "double")("u", "v").alias("j"))
+    estimated = written(scored.groupBy("a", "b").agg(F.max("j").alias("j")), "estimated")  # a repeated doc_id may have several heads
     hopeful = estimated.filter(F.col("j") >= least).select("a", "b")
 
     ids = hopeful.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.lower(F.col(text)).alias("text")).join(ids, "doc_id", "left_semi")
+    texts = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    sets = Bloom(ids).within(texts, "doc_id").select("doc_id", F.lower("text").alias("text"))
 
     def as_sets(batches):
         for batch in batches:
@@ -169,15 +172,15 @@ def _verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, threshold: fl
                 cuts = np.split(h.astype(np.uint64), np.cumsum(n)[:-1])
                 yield pa.record_batch([part.column("doc_id"), pa.array([np.unique(x).astype("<u8").tobytes() for x in cuts], pa.binary())], ["doc_id", "hashes"])
 
-    # A repeated doc_id is one document here: the least of its sets stands for it.
-    sets = written(sets.mapInArrow(as_sets, "doc_id long, hashes binary"), "sets").groupBy("doc_id").agg(F.min("hashes").alias("hashes"))
+    sets = written(sets.mapInArrow(as_sets, "doc_id long, hashes binary"), "sets")
 
     def compare(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for u, v in parts:
             yield pd.Series([_jaccard(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(u, v)], dtype=float)
 
-    both = hopeful.join(sets.withColumnsRenamed({"doc_id": "b", "hashes": "v"}), "b").join(sets.withColumnsRenamed({"doc_id": "a", "hashes": "u"}), "a")
-    exact = both.select("a", "b", F.pandas_udf(compare, "double")("u", "v").alias("jaccard"))
+    both = hopeful.join(sets.withColumnsRenamed({"doc_id": "b", "hashes": "v"}).hint("merge"), "b").join(sets.withColumnsRenamed({"doc_id": "a", "hashes": "u"}).hint("merge"), "a")
+    # A repeated doc_id is one document here: the nearest of its texts counts.
+    exact = both.select("a", "b", F.pandas_udf(compare, "double")("u", "v").alias("jaccard")).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
     hopeless = estimated.filter(F.col("j") < least).select("a", "b", F.lit(False).alias("near"))
     return written(exact.select("a", "b", (F.col("jaccard") >= threshold).alias("near")).unionByName(hopeless), "tried")
 
@@ -225,7 +228,8 @@ def near_groups(docs: DataFrame, threshold: float = 0.5, key: str = "doc_id", te
 
     How it runs: one map-only pass over the texts gives 160 registers of 16 bits each; equal contents are collapsed before
     anything is compared, and only texts of hopeful candidates are read again. Every result that is used twice is written
-    to the shared folder. Nothing reaches the driver but counts.
+    to the shared folder. Bloom filters of bounded size drop texts and sketches that no pair needs where they are read; joins
+    are sort-merge at any size. Nothing else reaches the driver but counts.
     """
     sketched = written(sketches(docs, key, text, seed), "sketches")
     links, heads = near_pairs(docs, sketched, threshold, key, text, seed)
@@ -250,7 +254,8 @@ def drop_near(docs: DataFrame, threshold: float = 0.5, key: str = "doc_id", text
     same = sketched.select("content", "doc_id").join(heads.select("content", F.col("doc_id").alias("head")), "content").filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
     id_ = fresh(docs, "__removed")
     removed = written(components(links.unionByName(same)).select(F.col("doc_id").alias(id_)), "removed")
-    kept = docs.join(removed, F.col(key).cast("long") == F.col(id_), "left_anti")
+    some = Bloom(removed)  # only rows that may be removed move
+    kept = some.outside(docs, key).unionByName(some.within(docs, key).join(removed.hint("merge"), F.col(key).cast("long") == F.col(id_), "left_anti"))
     twice = sketched.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(id_))
     if twice.isEmpty():
         return kept
