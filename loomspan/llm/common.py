@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 TOKENIZER_DIR = "/opt/tokenizers"
 #: Bytes of text that a Python worker handles at once; it bounds memory, not the work.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -203,7 +203,7 @@ class TokenEncoder:
     to `remember` pieces; this saves time only.
     """
 
-    def __init__(self, path: str = f"{TOKENIZER_DIR}/byte_bpe_multi_50k.tiktoken", remember: int = 1_000_000):
+    def __init__(self, path: str = f"{TOKENIZER_DIR}/byte_bpe_multi_50k.tiktoken", remember: int = 500_000):
         import base64
 
         import tiktoken

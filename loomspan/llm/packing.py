@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TOKENIZER_DIR, chunks, encoder, text_bytes
+from .common import TOKENIZER_DIR, chunks, encoder, text_bytes, written
 
 
 class CapacityTree:
@@ -117,14 +117,14 @@ def pack_windows(lengths: DataFrame, window: int, key: str = "doc_id", length: s
     Null or non-positive lengths have nothing to pack and appear in no window. Null keys are packed as null. Ties of
     length are ordered by key; repeated rows are packed each. No rows: no windows. Extra columns are ignored.
 
-    How it runs: best-fit decreasing needs only how many pieces have each length, at most `window` numbers, which the
+    How it runs: keys and lengths are written once to the shared folder. Best-fit decreasing needs only how many pieces have each length, at most `window` numbers, which the
     driver places exactly (best_fit_decreasing). Each piece then finds its segment by its rank among pieces of its length;
     ranks come from windows over (length, hash bucket), so that a common length doesn't make one large task. The segment
     table sent to the workers follows the distinct lengths, not the rows.
     """
     if window < 1:
         raise ValueError("window must be 1 at least")
-    rows = lengths.select(F.col(key).alias("k"), F.col(length).cast("long").alias("n")).filter("n > 0")
+    rows = written(lengths.select(F.col(key).alias("k"), F.col(length).cast("long").alias("n")).filter("n > 0"), "lengths")
     spark = lengths.sparkSession
     rows = rows.select("k", "n", F.floor(F.col("n") / window).alias("full"), (F.col("n") % window).alias("rest"))
     rest = rows.filter("rest > 0").select("k", F.col("rest").alias("len"), (F.col("full") * window).alias("start"), F.pmod(F.xxhash64("k"), F.lit(buckets)).alias("b"))
