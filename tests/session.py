@@ -1,9 +1,11 @@
+import os
+
 from pyspark.sql import SparkSession
 
 
 def session() -> SparkSession:
     spark = (
-        SparkSession.builder.master("local[8]").appName("loomspan-tests")
+        SparkSession.builder.master(f"local[{os.environ.get('BENCH_CPUS', 8)}]").appName("loomspan-tests")
         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.driver.memory", "6g")
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
