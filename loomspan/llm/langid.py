@@ -45,11 +45,9 @@ def identify(docs: DataFrame, dictionaries: Mapping[str, bytes], margin: float =
     The whole lower-cased text is compressed in pieces of `piece` bytes, so that in a long text too the dictionary, not
     the text itself, is what it is compared with; sizes are summed over the pieces. margin = (second - least) / second.
     `detected` is null (rejected) if margin is below the parameter: so for null and empty texts, ties, and anything that
-    no dictionary tells apart. With one dictionary the second size is that without any. Columns of docs called `detected`
+    no dictionary tells apart, and for everything if there is no dictionary. With one dictionary the second size is that without any. Columns of docs called `detected`
     or `margin` stay, and the new ones get a leading underscore. Map-only.
     """
-    if not dictionaries:
-        raise ValueError("there is no dictionary")
     names = sorted(dictionaries)
     held = docs.sparkSession.sparkContext.broadcast([dictionaries[n] for n in names])
 
@@ -73,7 +71,8 @@ def identify(docs: DataFrame, dictionaries: Mapping[str, bytes], margin: float =
 
     found = F.pandas_udf(classify, "detected string, margin double")
     got, detected, gap = fresh(docs, "__got"), fresh(docs, "detected"), fresh(docs, "margin")
-    scored = docs.withColumn(got, found(F.lower(F.col(text))))
+    none = F.struct(F.lit(None).cast("string").alias("detected"), F.lit(0.0).alias("margin"))
+    scored = docs.withColumn(got, found(F.lower(F.col(text))) if names else none)
     return scored.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(got)["detected"].alias(detected), F.col(got)["margin"].alias(gap))
 
 
