@@ -36,9 +36,10 @@ def greedy_budget(
         raise ValueError("chunks need a column ord: the order of ties")
 
     def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames), ignore_index=True)
-        if rows.empty:
+        parts = list(frames)
+        if not parts:
             return
+        rows = pd.concat(parts, ignore_index=True)
         rows = rows.sort_values("ord", kind="stable").reset_index(drop=True)
         chosen, files, left = [], set(), available
         if wanted:

@@ -150,7 +150,7 @@ def imports_of(path: str, content: str, lang: str | None) -> list[dict]:
     return out
 
 
-_CALL = re.compile(r"(?<![\w$.])((?:[A-Za-z_$][\w$]*\.)*[A-Za-z_$][\w$]*)\s*\(")
+_CALL = re.compile(r"(?:(?<![\w$.])|(?<=\)\.))((?:[A-Za-z_$][\w$]*\.)*[A-Za-z_$][\w$]*)\s*\(")
 
 
 def calls_of(path: str, content: str, symbols: list[dict]) -> list[dict]:
