@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 from .common import fresh
 
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>", re.S | re.I)
-_BREAK = re.compile(r"</?(?:p|div|li|ul|ol|dl|dt|dd|table|tr|td|th|h[1-6]|nav|header|footer|main|article|section|aside|form|option|select|blockquote|pre|figure|figcaption|body|html|title|br|hr)\b[^>]*>", re.I)
+_SECTION = re.compile(r"</?(?:nav|header|footer|main|article|section|aside|form|table|body)\b[^>]*>", re.I)
+_BREAK = re.compile(r"</?(?:p|div|li|ul|ol|dl|dt|dd|tr|td|th|h[1-6]|option|select|blockquote|pre|figure|figcaption|html|title|br|hr)\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^>]*>")
 _SPACE = re.compile(r"[^\S\n]+")
 
 
 def lines_of(page: str) -> list[str]:
-    """The page's lines of text: markup is gone, each block tag has ended a line, entities are resolved."""
-    text = _TAG.sub("", _BREAK.sub("\n", _DROP.sub(lambda m: " " if not m[1] else "\n", page)))
+    """The page's lines of text: markup is gone, each block tag has ended a line and each tag of a section two, entities are resolved."""
+    text = _TAG.sub("", _BREAK.sub("\n", _SECTION.sub("\n\n", _DROP.sub(lambda m: " " if not m[1] else "\n", page))))
     return [x.strip() for x in _SPACE.sub(" ", html.unescape(text).replace("\xa0", " ").replace("\r\n", "\n").replace("\r", "\n")).split("\n")]
 
 
