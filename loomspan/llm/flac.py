@@ -360,7 +360,7 @@ def _number(v: int) -> bytes:
 
 def encode(x: np.ndarray, rate: int = 16000, bits: int = 16, block: int = 4096, lpc: int = 0, stereo: str = "independent") -> bytes:
     """A FLAC stream of samples (n x channels). stereo: independent, left, right or mid (side channels of two)."""
-    x = x.reshape(len(x), -1).astype(np.int64)
+    x = (x if x.ndim == 2 else x[:, None]).astype(np.int64)
     channels = x.shape[1]
     info = block.to_bytes(2, "big") * 2 + bytes(6) + (rate << 44 | (channels - 1) << 41 | (bits - 1) << 36 | len(x)).to_bytes(8, "big") + hashlib.md5(pcm_bytes(x, bits)).digest()
     out = [b"fLaC\x80\x00\x00\x22", info]
