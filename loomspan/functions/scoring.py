@@ -9,7 +9,7 @@ K1, B, RRF_K = 1.2, 0.75, 60
 
 
 def idf(n: Column, df: Column) -> Column:
-    return F.log((n - df + 0.5) / (df + 0.5) + 1)
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
 def bm25_term(idf_: Column, tf: Column, length: Column, mean: Column, k1: float = K1, b: float = B) -> Column:

@@ -29,7 +29,7 @@ def embedding_tokens(c: Column | str) -> Column:
 
 def split_camel(c: Column | str) -> Column:
     """XMLParser2go -> [xml, parser, 2, go]"""
-    s = F.regexp_replace(_col(c), "([A-Z]+)([A-Z][a-z])", "$1 $2")
+    s = F.regexp_replace(_col(c), "(\\p{Upper}+)(\\p{Upper}\\p{Lower})", "$1 $2")
     for pattern in ("([a-z])([A-Z])", "([A-Za-z])([0-9])", "([0-9])([A-Za-z])"):
         s = F.regexp_replace(s, pattern, "$1 $2")
     return F.filter(F.split(F.lower(s), "\\s+"), lambda w: w != "")
@@ -115,7 +115,7 @@ def byte_offset(c: Column | str, line: Column, column: Column) -> Column:
     return F.octet_length(before) + F.when(line > 1, 1).otherwise(0) + F.octet_length(F.substr(here, F.lit(1), column.cast("int")))
 
 
-# --- paths ---------------------------------------------------------------------------------------
+# --- paths ---
 
 
 def normalize_path(c: Column | str) -> Column:

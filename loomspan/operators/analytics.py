@@ -159,7 +159,7 @@ def architecture(files: DataFrame, path: str = "path") -> DataFrame:
     return c.select(chosen.otherwise("monolith").alias("architecture"))
 
 
-# --- validation ----------------------------------------------------------------------------------
+# --- validation ---
 
 
 def validate(files: DataFrame) -> DataFrame:

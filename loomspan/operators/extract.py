@@ -16,30 +16,46 @@ SYMBOLS = "file_path string, name string, kind string, line int, end_line int, e
 IMPORTS = "file_path string, source string, names array<string>, is_default boolean, is_namespace boolean, line int"
 CHUNKS = "id string, file_path string, start_line int, end_line int, content string, type string, symbols array<string>, token_count int, imports array<string>"
 
-_N = r"([A-Za-z_$][\w$]*)"
-_TS = {
-    "function": rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*{_N}\s*(?:<[^>]*>)?\s*\(([^)]*)\)(?:\s*:\s*([^{{\n]+))?|^\s*(?:export\s+)?(?:const|let|var)\s+{_N}\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*(?::[^=\n]+)?=>",
-    "class": rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+{_N}",
-    "interface": rf"^\s*(?:export\s+)?interface\s+{_N}",
-    "type": rf"^\s*(?:export\s+)?type\s+{_N}\s*(?:<[^>]*>)?\s*=",
-    "constant": rf"^\s*(?:export\s+)?const\s+{_N}\s*(?::[^=\n]+)?=(?!\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*(?::[^=\n]+)?=>)",
-}
-PATTERNS: dict[str, dict[str, str]] = {
-    "typescript": _TS,
-    "javascript": {k: v for k, v in _TS.items() if k not in ("interface", "type")},
-    "python": {"function": rf"^[ \t]*(?:async\s+)?def\s+{_N}\s*\(([^)]*)\)(?:\s*->\s*([^:\n]+))?", "class": rf"^[ \t]*class\s+{_N}", "constant": r"^([A-Z][A-Z0-9_]+)\s*(?::[^=\n]+)?="},
-    "go": {"function": rf"^func\s+(?:\([^)]*\)\s*)?{_N}\s*\(([^)]*)\)\s*([^{{\n]*)", "class": rf"^type\s+{_N}\s+struct", "interface": rf"^type\s+{_N}\s+interface", "constant": rf"^const\s+{_N}"},
-    "rust": {"function": rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+{_N}\s*(?:<[^>]*>)?\s*\(([^)]*)\)(?:\s*->\s*([^{{\n]+))?", "class": rf"^\s*(?:pub\s+)?(?:struct|enum)\s+{_N}", "interface": rf"^\s*(?:pub\s+)?trait\s+{_N}", "type": rf"^\s*(?:pub\s+)?type\s+{_N}", "constant": rf"^\s*(?:pub\s+)?(?:const|static)\s+{_N}"},
-    "java": {"function": rf"^\s*(?:public|private|protected)\s+(?:static\s+)?(?:final\s+)?[\w<>\[\], ]+\s+{_N}\s*\(([^)]*)\)", "class": rf"^\s*(?:public\s+)?(?:abstract\s+|final\s+)?class\s+{_N}", "interface": rf"^\s*(?:public\s+)?interface\s+{_N}", "constant": rf"static\s+final\s+\w+\s+{_N}\s*="},
-    "csharp": {"function": rf"^\s*(?:public|private|protected|internal)\s+(?:static\s+)?(?:async\s+)?[\w<>\[\], ]+\s+{_N}\s*\(([^)]*)\)", "class": rf"^\s*(?:public\s+)?(?:abstract\s+|sealed\s+)?class\s+{_N}", "interface": rf"^\s*(?:public\s+)?interface\s+{_N}", "constant": rf"const\s+\w+\s+{_N}\s*="},
-    "cpp": {"function": rf"^[\w:<>*&\s]+?\s+[*&]?{_N}\s*\(([^)]*)\)\s*(?:const\s*)?\{{", "class": rf"^\s*(?:class|struct)\s+{_N}", "constant": rf"^\s*#define\s+{_N}"},
-    "ruby": {"function": rf"^\s*def\s+(?:self\.)?([A-Za-z_]\w*[?!]?)", "class": rf"^\s*class\s+{_N}", "interface": rf"^\s*module\s+{_N}", "constant": r"^\s*([A-Z][A-Z0-9_]+)\s*="},
-    "php": {"function": rf"^\s*(?:public|private|protected)?\s*(?:static\s+)?function\s+{_N}\s*\(([^)]*)\)", "class": rf"^\s*(?:abstract\s+|final\s+)?class\s+{_N}", "interface": rf"^\s*interface\s+{_N}", "constant": rf"^\s*const\s+{_N}"},
-    "swift": {"function": rf"^\s*(?:public\s+|private\s+)?(?:static\s+)?func\s+{_N}\s*(?:<[^>]*>)?\(([^)]*)\)(?:\s*->\s*([^{{\n]+))?", "class": rf"^\s*(?:public\s+)?(?:final\s+)?(?:class|struct)\s+{_N}", "interface": rf"^\s*(?:public\s+)?protocol\s+{_N}", "type": rf"^\s*typealias\s+{_N}", "constant": rf"^\s*(?:static\s+)?let\s+{_N}"},
-    "kotlin": {"function": rf"^\s*(?:override\s+)?(?:suspend\s+)?fun\s+(?:<[^>]*>\s*)?{_N}\s*\(([^)]*)\)(?:\s*:\s*([^{{=\n]+))?", "class": rf"^\s*(?:data\s+|open\s+|abstract\s+)?class\s+{_N}", "interface": rf"^\s*interface\s+{_N}", "type": rf"^\s*typealias\s+{_N}", "constant": rf"^\s*const\s+val\s+{_N}"},
-    "dart": {"function": rf"^\s*(?:[\w<>?]+\s+)?{_N}\s*\(([^)]*)\)\s*(?:async\s*)?\{{", "class": rf"^\s*(?:abstract\s+)?class\s+{_N}", "type": rf"^\s*typedef\s+{_N}", "constant": rf"^\s*const\s+(?:\w+\s+)?{_N}\s*="},
+_NAME = r"([A-Za-z_$][\w$]*)"
+_PIECES = {
+    "NAME": rf"{_NAME}\s*", "TYPES": r"(?:<.*?>)?\s*", "ARGS": r"\((?P<args>(?s:.*?))\)", ":RET": r"(?:\s*:\s*(?P<ret>[^\n{=;]+))?", "->RET": r"(?:\s*->\s*(?P<ret>[^\n{:]+))?",
+    "KIND": r"[\w<>\[\], ]+\s+", "BODY": r"\s*(?:async\s*)?(?:const\s*)?\{", "RECEIVER": r"(?:\([^)]*\)\s*)?", "VALUE": r"(?::[^=\n]+)?=\s*", "LAMBDA": r"(?:async\s*)?(?:\(.*?\)|[\w$]+)\s*(?::[^=\n]+)?=>",
+    "PLAIN": r"(?!(?:async\s*)?(?:\(.*?\)|[\w$]+)\s*(?::[^=\n]+)?=>)", "CAPS": r"([A-Z][A-Z0-9_]+)\s*", "RUBY": r"(?:self\.)?([A-Za-z_]\w*[?!]?)", "STAR": r"\*?\s*", "VIS": r"(?:\([^)]*\)\s+)?",
 }
-_COMPILED = {lang: [(k, re.compile(p, re.M)) for k, p in kinds.items()] for lang, kinds in PATTERNS.items()}
+
+
+def _pattern(template: str) -> str:
+    """A regular expression for a definition's head. Words stand for themselves and white space, `a/b` for either, a final ?
+    makes them optional; capitals are pieces. A leading ^ forbids indentation, a leading ~ allows anything before."""
+    out = "" if template[0] == "~" else "^" if template[0] == "^" else r"^\s*"
+    for x in template.lstrip("^~").split():
+        bare = x.rstrip("?")
+        piece = _PIECES.get(bare) or f"(?:{'|'.join(map(re.escape, bare.split('/')))})\\s+"
+        out += f"(?:{piece})?" if x != bare else piece
+    return out
+
+
+_SCRIPT = {
+    "function": "export? default? async? function STAR NAME TYPES ARGS :RET || export? const/let/var NAME VALUE LAMBDA", "class": "export? default? abstract? class NAME", "interface": "export? interface NAME",
+    "type": "export? type NAME TYPES VALUE", "constant": "export? const NAME VALUE PLAIN",
+}
+DEFINITIONS: dict[str, dict[str, str]] = {
+    "typescript": _SCRIPT,
+    "javascript": {k: v for k, v in _SCRIPT.items() if k not in ("interface", "type")},
+    "python": {"function": "async? def NAME ARGS ->RET", "class": "class NAME", "constant": "^CAPS VALUE"},
+    "go": {"function": "^func RECEIVER NAME ARGS", "class": "^type NAME struct", "interface": "^type NAME interface", "constant": "^const NAME"},
+    "rust": {"function": "pub? VIS async? fn NAME TYPES ARGS ->RET", "class": "pub? VIS struct/enum NAME", "interface": "pub? VIS trait NAME", "type": "pub? VIS type NAME", "constant": "pub? VIS const/static NAME"},
+    "java": {"function": "public/private/protected static? final? KIND NAME ARGS", "class": "public? abstract/final? class NAME", "interface": "public? interface NAME", "constant": "~static final KIND NAME VALUE"},
+    "csharp": {"function": "public/private/protected/internal static? async? KIND NAME ARGS", "class": "public? abstract/sealed? class NAME", "interface": "public? interface NAME", "constant": "~const KIND NAME VALUE"},
+    "cpp": {"function": "KIND NAME ARGS BODY", "class": "class/struct NAME", "constant": "#define NAME"},
+    "ruby": {"function": "def RUBY", "class": "class NAME", "interface": "module NAME", "constant": "CAPS VALUE"},
+    "php": {"function": "public/private/protected? static? function NAME ARGS", "class": "abstract/final? class NAME", "interface": "interface NAME", "constant": "const NAME"},
+    "swift": {"function": "public/private? static? func NAME TYPES ARGS ->RET", "class": "public? final? class/struct NAME", "interface": "public? protocol NAME", "type": "typealias NAME", "constant": "static? let NAME"},
+    "kotlin": {"function": "override? suspend? fun TYPES NAME ARGS :RET", "class": "data/open/abstract? class NAME", "interface": "interface NAME", "type": "typealias NAME", "constant": "const val NAME"},
+    "dart": {"function": "KIND? NAME ARGS BODY", "class": "abstract? class NAME", "type": "typedef NAME", "constant": "const KIND? NAME VALUE"},
+}
+PATTERNS = {lang: {k: [_pattern(p.strip()) for p in t.split("||")] for k, t in kinds.items()} for lang, kinds in DEFINITIONS.items()}
+_COMPILED = {lang: [(k, re.compile(p, re.M)) for k, ps in kinds.items() for p in ps] for lang, kinds in PATTERNS.items()}
 _HEADER = re.compile(r"(?:extends\s+([\w$.<>, ]+?))?\s*(?:implements\s+([\w$.<>, ]+?))?\s*\{")
 _KEYWORDS = {"if", "for", "while", "switch", "catch", "return", "else", "do"}
 
@@ -75,16 +91,15 @@ def symbols_of(path: str, content: str, lang: str | None) -> list[dict]:
     lines, found, seen = content.split("\n"), [], set()
     for kind, pattern in _COMPILED.get(lang or "", []):
         for m in pattern.finditer(content):
-            groups = m.groups()
-            i = next((i for i, g in enumerate(groups) if g), None)
-            if i is None or groups[i] in _KEYWORDS:
+            name = m[1]
+            if name in _KEYWORDS:
                 continue
-            at = content.count("\n", 0, m.start(i + 1)) + 1
-            if (groups[i], at) in seen:
+            at = content.count("\n", 0, m.start(1)) + 1
+            if (name, at) in seen:
                 continue
-            seen.add((groups[i], at))
-            text = m.group(0)
-            row = {"file_path": path, "name": groups[i], "kind": kind, "line": at, "end_line": _block_end(lines, at, lang), "exported": "export" in text or text.lstrip().startswith("pub"), "is_async": bool(re.search(r"\basync\b", text)), "parent": None, "params": [p.strip() for p in (groups[1] or "").split(",") if p.strip()] if kind == "function" and len(groups) > 1 and i == 0 else [], "return_type": groups[2].strip() if kind == "function" and len(groups) > 2 and i == 0 and groups[2] else None, "extends": [], "implements": []}
+            seen.add((name, at))
+            text, named = m.group(0), m.groupdict()
+            row = {"file_path": path, "name": name, "kind": kind, "line": at, "end_line": _block_end(lines, at, lang), "exported": "export" in text or text.lstrip().startswith("pub"), "is_async": bool(re.search(r"\basync\b", text)), "parent": None, "params": [p.strip() for p in (named.get("args") or "").split(",") if p.strip()], "return_type": (named.get("ret") or "").strip() or None, "extends": [], "implements": []}
             if kind in ("class", "interface"):
                 head = _HEADER.search(content, m.end(), m.end() + 400)
                 if head:
@@ -96,7 +111,7 @@ def symbols_of(path: str, content: str, lang: str | None) -> list[dict]:
     return found
 
 
-_METHOD = re.compile(rf"^\s+(?:(?:public|private|protected|static|async|override|readonly|get|set)\s+)*{_N}\s*(?:<[^>]*>)?\(([^)]*)\)\s*(?::\s*([^{{]+))?\{{")
+_METHOD = re.compile(r"^\s+" + "".join(f"(?:(?:{w})\\s+)?" for w in ("public|private|protected", "static", "override", "readonly", "async", "get|set")) + _PIECES["NAME"] + _PIECES["TYPES"] + r"\(([^()]*)\)" + r"\s*(?::\s*([^{]+))?\{")
 
 
 def _methods(path: str, lines: list[str], classes: list[dict], known: set) -> list[dict]:
@@ -222,12 +237,12 @@ def project_name(package: Column, folder: Column) -> Column:
     return F.coalesce(F.get_json_object(package, "$.name"), F.element_at(F.split(folder, "/"), -1))
 
 
-# --- chunks --------------------------------------------------------------------------------------
+# --- chunks ---
 
 MIN_TOKENS, MAX_TOKENS, LOOK_BACK = 50, 500, 20
 CAST_MAX, CAST_MIN, CAST_BEST = 1600, 160, 1200
 _COMMENT = re.compile(r"^\s*(?://|#|/\*|\*|\"\"\"|@)")
-_BOUNDARY = re.compile(r"^\s*(?:export\s+)?(?:async\s+)?(?:function|class|interface|type|const|let|var|def|fn|func|pub|struct|enum|impl)\b")
+_BOUNDARY = re.compile(_pattern("export? async? function/class/interface/type/const/let/var/def/fn/func/pub/struct/enum/impl"))
 BLOCKS = (("function", r"\b(?:function|def|fn|func)\b"), ("class", r"\bclass\b"), ("loop", r"\b(?:for|while)\b"), ("conditional", r"\b(?:if|switch|match)\b"), ("error-handling", r"\b(?:try|catch|except)\b"), ("import", r"^\s*(?:import|from|use)\b"))
 
 
@@ -377,14 +392,11 @@ def class_rows(symbols_: DataFrame) -> DataFrame:
     return symbols_.filter("kind = 'class'").select("file_path", "name", "line", "end_line").join(methods, ["file_path", "name"], "left").select("file_path", "name", "line", "end_line", F.coalesce(F.col("m.method"), F.array().cast("array<string>")).alias("methods"))
 
 
-# --- declarations of libraries -------------------------------------------------------------------
+# --- declarations of libraries ---
 
 API = "library string, version string, name string, type string, signature string, description string, params array<struct<name:string,type:string,optional:boolean>>, returns string, deprecated boolean, since string, examples array<string>"
-_DTS = [
-    ("interface", re.compile(r"^export\s+(?:declare\s+)?interface\s+(\w+)[^{]*", re.M)), ("type", re.compile(r"^export\s+(?:declare\s+)?type\s+(\w+)[^=]*=\s*[^;]+", re.M)),
-    ("function", re.compile(r"^export\s+(?:declare\s+)?function\s+(\w+)\s*(?:<[^>]*>)?\(([^)]*)\)\s*:?\s*([^;\n]*)", re.M)), ("class", re.compile(r"^export\s+(?:declare\s+)?(?:abstract\s+)?class\s+(\w+)[^{]*", re.M)),
-    ("constant", re.compile(r"^export\s+(?:declare\s+)?const\s+(\w+)\s*:\s*([^;]+)", re.M)),
-]
+_DECLARED = {"interface": "NAME", "type": "NAME", "function": "NAME TYPES ARGS :RET", "class": "NAME", "const": "NAME"}
+_DTS = [("constant" if k == "const" else k, re.compile(_pattern(f"^export declare? abstract? {k} {rest}") + r"[^{;\n]*", re.M)) for k, rest in _DECLARED.items()]
 
 
 def doc_comment(text: str) -> dict:
@@ -413,7 +425,7 @@ def api_entries_of(library: str, version: str, text: str, most: int = 500) -> li
                 continue
             before = re.search(r"(/\*\*(?:(?!\*/).)*\*/)\s*$", text[: m.start()], re.S)
             doc = doc_comment(before[1]) if before else doc_comment("")
-            out.append({"library": library, "version": version, "name": m[1], "type": kind, "signature": " ".join(m[0].split()), "params": parameters(m[2]) if kind == "function" else [], **doc})
+            out.append({"library": library, "version": version, "name": m[1], "type": kind, "signature": " ".join(m[0].split()), "params": parameters(m["args"]) if kind == "function" else [], **doc})
     return out[:most]
 
 

@@ -366,7 +366,7 @@ def resolve(names: DataFrame, symbols: DataFrame) -> DataFrame:
     return joined.withColumn("known", F.coalesce("near", "far").isNotNull()).withColumn("target", F.coalesce("near", "far", F.concat(F.lit("type:"), F.col("name")))).drop("near", "far")
 
 
-# --- symbol tracking -----------------------------------------------------------------------------
+# --- symbol tracking ---
 
 
 def overrides(symbols: DataFrame) -> DataFrame:

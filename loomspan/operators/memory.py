@@ -14,6 +14,7 @@ CONCERNS = tuple(
     for x in ("authentication auth login logout session", "database db query sql orm", "api endpoint route rest graphql", "test testing spec mock", "component widget view ui",
               "error exception bug fix", "performance optimization cache", "security validation sanitize", "deploy build ci cd", "refactor restructure cleanup")
 )
+VERBS = "get set is has can should will do".split()
 DULL_PARTS = ("src", "lib", "dist", "build", "index", "node_modules")
 _KEY = [
     "the (?:{}) (?:{})".format("|".join(("main", "key", "important", "critical")), "|".join(("issue", "problem", "point"))),
@@ -28,7 +29,7 @@ KEY_SENTENCE = "(?i)" + "|".join(_KEY)
 def topics_of(text: Column) -> Column:
     """Up to five topics of a text: a word for each concern, then up to three names in PascalCase."""
     low = F.array(*[F.lower(F.regexp_extract(text, f"(?i)({'|'.join(words)})", 1)) for words in CONCERNS])
-    names = F.slice(F.regexp_extract_all(text, F.lit("([A-Z][a-z]+(?:[A-Z][a-z]+)+)"), F.lit(1)), 1, 3)
+    names = F.slice(F.regexp_extract_all(text, F.lit("(\\p{Upper}\\p{Lower}+(?:\\p{Upper}\\p{Lower}+)+)"), F.lit(1)), 1, 3)
     spaced = F.transform(names, lambda n: F.lower(F.trim(F.regexp_replace(n, "([A-Z])", " $1"))))
     return F.slice(F.array_distinct(F.concat(F.filter(low, lambda x: x != ""), F.filter(spaced, lambda x: F.length(x) > 3))), 1, 5)
 
@@ -40,7 +41,7 @@ def topic_of_path(path: Column) -> Column:
 
 
 def normal_symbol(symbol: Column) -> Column:
-    bare = F.regexp_replace(symbol, "^(?:get|set|is|has|can|should|will|do)", "")
+    bare = F.regexp_replace(symbol, f"^(?:{'|'.join(VERBS)})", "")
     return F.trim(F.lower(F.regexp_replace(bare, "(?:Handler|Manager|Service|Controller|Component|Provider)$", "")))
 
 

@@ -95,7 +95,7 @@ def query_tokens(spark: SparkSession, query: str) -> list[str]:
     return spark.range(1).select(bm25_tokens(F.lit(query)).alias("t")).head().t
 
 
-# --- dense ---------------------------------------------------------------------------------------
+# --- dense ---
 
 
 @dataclass
@@ -175,7 +175,7 @@ def embed_missing(chunks: DataFrame, cache: DataFrame, embed: Callable[[DataFram
     return cache.join(keyed.select("cache_key"), "cache_key", "left_semi").select("cache_key", "embedding").unionByName(missing.select("cache_key", "embedding"))
 
 
-# --- fusion --------------------------------------------------------------------------------------
+# --- fusion ---
 
 
 def ranked(scores: DataFrame, by: str = "score", tie: str = "id") -> DataFrame:
@@ -207,7 +207,7 @@ def fetch_size(limit: int) -> int:
     return min(3 * limit, 100)
 
 
-# --- keyword scores ------------------------------------------------------------------------------
+# --- keyword scores ---
 
 
 def _holding(names: Column, word: str) -> Column:

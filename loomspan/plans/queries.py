@@ -42,7 +42,7 @@ d as (select doc_id as id, {TOK} as tok from documents), corpus as (select count
 post as (select id, dl, term, count(*) as tf from (select id, len(tok) as dl, unnest(tok) as term from d) group by 1, 2, 3),
 q as (select term, count(*) as qtf from (select unnest(string_split('{SEARCH}', ' ')) as term) group by 1),
 dfs as (select term, count(*) as df from post group by 1),
-bm as (select id, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) as score from q join post using (term) join dfs using (term), corpus group by 1)"""
+bm as (select id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) as score from q join post using (term) join dfs using (term), corpus group by 1)"""
 
 
 @query(f"""with {_BM25}, top as (select id, score from bm order by round(score, 6) desc, id limit 20)
@@ -62,13 +62,13 @@ def bm25_index_search(spark, sf):
     return got.select("id", F.round("score", 6).alias("score"))
 
 
-@query(f"with {_BM25} select term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) as idf from dfs, corpus order by df desc, term limit 200")
+@query(f"with {_BM25} select term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) as idf from dfs, corpus order by df desc, term limit 200")
 def bm25_term_stats(spark, sf):
     s = retrieval.InvertedIndex.build(docs(spark, sf)).term_stats()
     return s.orderBy(F.desc("df"), "term").limit(200).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-@query(f"with {_BM25} select term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) as idf from dfs, corpus where df <= case when n <= 10 then n else floor(0.9 * n) end and df >= 1 order by df desc, term limit 100")
+@query(f"with {_BM25} select term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) as idf from dfs, corpus where df <= case when n <= 10 then n else floor(0.9 * n) end and df >= 1 order by df desc, term limit 100")
 def bm25_bounded_terms(spark, sf):
     s = retrieval.InvertedIndex.build(docs(spark, sf)).term_stats(bounded=True)
     return s.orderBy(F.desc("df"), "term").limit(100).select("term", "df", F.round("idf", 6).alias("idf"))
@@ -92,7 +92,7 @@ def tokenize_freq(spark, sf):
 
 
 _IDENT = "concat('get', replace(p_name, ' ', 'Of'), 'XMLHttp', p_size)"
-_SPLIT = "list_filter(string_split(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g')), ' '), lambda w: w <> '')"
+_SPLIT = "list_filter(string_split(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '([[:upper:]]+)([[:upper:]][[:lower:]])', '\\1 \\2', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g')), ' '), lambda w: w <> '')"
 
 
 @query(f"select p_partkey, array_to_string({_SPLIT.format(_IDENT)}, ' ') as words, array_to_string({_SPLIT.format(_IDENT)}, '_') as snake, array_to_string({_SPLIT.format(_IDENT)}, '-') as kebab from part where p_name not like '%#%'")
@@ -495,7 +495,7 @@ union all select 'long-parameter-list', case when p <= 7 then 'medium' when p <=
 union all select 'deep-nesting', case when d <= 6 then 'medium' when d <= 8 then 'high' else 'critical' end, doc_id from deep where d > 4 union all select 'magic-number', 'low', doc_id from nums where k > 0)"""
 
 
-@query(f"""with {_SMELL}, dom as (select 'type' as kind, unnest(['long-method', 'long-parameter-list', 'god-class', 'deep-nesting', 'duplicate-code', 'magic-number', 'complex-conditional', 'dead-code']) as name union all select 'severity', unnest(['low', 'medium', 'high', 'critical'])),
+@query(f"""with {_SMELL}, dom as (select 'type' as kind, unnest(['long-method', 'long-parameter-list', 'god-class', 'deep-nesting', 'duplicate-code', 'magic-number', 'complex-conditional', 'dead-code']) as name union all select 'severity', unnest(string_split('low medium high critical', ' '))),
 cnt as (select 'type' as kind, type as name, count(*) as n from sm group by 2 union all select 'severity', severity, count(*) from sm group by 2) select kind, name, coalesce(n, 0) as n from dom left join cnt using (kind, name)""")
 def smell_report(spark, sf):
     none = spark.createDataFrame([], "file_path string, name string, line int, end_line int, methods array<string>")

@@ -6,8 +6,8 @@ from loomspan.operators import budget
 from loomspan.operators.retrieval import InvertedIndex, TfIdfEmbedder, VectorStore, bm25_search, embed_missing, hybrid_search, keyword_score, rrf
 
 DOCS = [
-    ("1", "function authenticate(user, password) { return validate(user); }"), ("2", "class UserService { getUser(id) { return db.find(id); } }"),
-    ("3", "const AUTH_TOKEN = process.env.TOKEN;"), ("4", "function processPayment(amount, card) { return payment.process(); }"),
+    ("1", "function authenticate(user, password) { return validate(user); }"), ("2", "class UserService: getUser(id) -> return db.find(id)"),
+    ("3", "const AUTH_TOKEN = process.env.TOKEN;"), ("4", "function processPayment: amount, card -> return payment.process"),
 ]
 
 
