@@ -112,7 +112,7 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-# --- texts of an Arrow batch as one byte array ---------------------------------------------------
+# --- texts of an Arrow batch as one byte array ---
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

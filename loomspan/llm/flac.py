@@ -286,7 +286,7 @@ def decode_column(media: DataFrame, column: str = "flac", keep: list[str] | None
     return got.mapInArrow(run, schema)
 
 
-# --- encoder -------------------------------------------------------------------------------------
+# --- encoder ---
 
 
 def _put(value: int, n: int) -> np.ndarray:

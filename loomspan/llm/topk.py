@@ -103,7 +103,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, nodes: int = 4, key:
     df = np.zeros(len(vocabulary), np.int64)
     for r in entries.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
         df[r.t] = r["count"]
-    idf = np.log((size.n - df + 0.5) / (df + 0.5) + 1.0)
+    idf = np.log(1 + (size.n - df + 0.5) / (df + 0.5))
     weights = np.zeros((len(vocabulary), len(ids)))
     row, column = {t: i for i, t in enumerate(vocabulary)}, {i: j for j, i in enumerate(ids)}
     for r in wanted:
@@ -209,7 +209,7 @@ tf as (select doc_id, term, count(*) as tf from dt where term <> '' group by 1,
 dl as (select d.doc_id, coalesce(sum(tf), 0) as dl from documents d left join tf using (doc_id) group by 1),
 corpus as (select count(*) as n, avg(dl) as mean from dl),
 df as (select term, count(*) as df from tf group by 1),
-scored as (select q, doc_id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * dl / mean))), 6) as score
+scored as (select q, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * dl / mean))), 6) as score
   from qw join tf using (term) join df using (term) join dl using (doc_id), corpus group by 1, 2),
 ranked as (select *, row_number() over (partition by q order by score desc, doc_id) as rank from scored)
 select q as query_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= {k}"""

@@ -231,7 +231,7 @@ def brute_top(docs, texts, k):
         for w, m in Counter(topk.brute_words(t)).items():
             for d, c in counts.items():
                 if c[w]:
-                    i = math.log((n - df[w] + 0.5) / (df[w] + 0.5) + 1)
+                    i = math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))
                     scores[d] = scores.get(d, 0) + m * i * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * len(words[d]) / mean))
         best = sorted(((-round(s, 6), d) for d, s in scores.items()))[:k]
         out += [(q, r + 1, d, -s) for r, (s, d) in enumerate(best)]
