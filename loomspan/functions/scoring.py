@@ -74,7 +74,7 @@ def confidence_level(c: Column) -> Column:
 
 
 def confidence_icon(c: Column) -> Column:
-    return F.create_map(*[F.lit(x) for x in ("high", "[+]", "medium", "[~]", "low", "[!]")])[c]
+    return F.create_map(*[F.lit(x) for x in ("high", "[GREEN]", "medium", "[YELLOW]", "low", "[RED]")])[c]
 
 
 def confidence_guidance(c: Column) -> Column:

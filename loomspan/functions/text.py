@@ -21,6 +21,21 @@ def bm25_tokens(c: Column | str) -> Column:
     return F.filter(words, lambda w: (F.length(w) >= 2) & (F.length(w) <= 50) & ~w.rlike("^[0-9]+$"))
 
 
+def bm25_normal(c: Column | str) -> Column:
+    """The text as its index tokens sees it: words of [a-z0-9], each between spaces of its own. Counting in it needs no arrays."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(_col(c)), "[^a-z0-9]+", "  "), F.lit(" "))
+
+
+def bm25_length(normal: Column) -> Column:
+    """How many bm25_tokens a normal text has: words of 2 to 50 characters with a letter."""
+    return F.regexp_count(normal, F.lit(" (?=[0-9]*[a-z])[a-z0-9]{2,50} "))
+
+
+def bm25_count(normal: Column, word: str) -> Column:
+    """How often a word stands in a normal text."""
+    return ((F.length(normal) - F.length(F.replace(normal, F.lit(f" {word} "), F.lit("")))) / (len(word) + 2)).cast("int")
+
+
 def embedding_tokens(c: Column | str) -> Column:
     """Tokens of the local embedder: runs of [a-z0-9_] of 2 to 49 characters; numbers stay."""
     words = F.split(F.regexp_replace(F.lower(_col(c)), "[^a-z0-9_]+", " "), " ")

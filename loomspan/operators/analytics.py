@@ -162,12 +162,22 @@ def architecture(files: DataFrame, path: str = "path") -> DataFrame:
 # --- validation ---
 
 
-def validate(files: DataFrame) -> DataFrame:
-    """(path, binary, empty, too_large, confidence, action): files: path, content, size."""
-    binary = F.locate("\x00", F.substring("content", 1, 8192)) > 0
-    rows = files.select("path", binary.alias("binary"), (F.col("size") == 0).alias("empty"), (F.col("size") > 1_000_000).alias("too_large"), F.regexp_count("content", F.lit("�")).alias("bad"))
-    c = F.when(F.col("binary") | F.col("too_large"), "low").when(F.col("empty") | (F.col("bad") > 0), "medium").otherwise("high")
-    return rows.withColumn("confidence", c).withColumn("action", F.create_map(*[F.lit(x) for x in ("low", "skip", "medium", "warn", "high", "index")])[F.col("confidence")]).drop("bad")
+def validate(files: DataFrame, parsed: str | None = None, symbols: str | None = None) -> DataFrame:
+    """(path, valid, parse_ok, symbols_ok, confidence, action) of files (path, content).
+
+    A file is valid if it can be read, and neither its extension nor a NUL in its first 8 KB says that it is binary. parsed: a
+    boolean column that says whether it was parsed; symbols: a column with the number of symbols found. Without them these
+    checks pass. All checks passed: high, index; invalid: low, skip; else medium, and partial if it wasn't parsed.
+    """
+    from ..sources.ignore import binary_extension
+
+    valid = F.col("content").isNotNull() & ~binary_extension("path") & (F.locate("\x00", F.substring("content", 1, 8192)) == 0)
+    ok = F.coalesce(F.col(parsed), F.lit(False)) if parsed else F.lit(True)
+    some = F.coalesce(F.col(symbols) > 0, F.lit(False)) if symbols else F.lit(True)
+    rows = files.select("path", F.coalesce(valid, F.lit(False)).alias("valid"), ok.alias("parse_ok"), some.alias("symbols_ok"))
+    level = F.when(~F.col("valid"), "low").when(F.col("parse_ok") & F.col("symbols_ok"), "high").otherwise("medium")
+    action = F.when(~F.col("valid"), "skip").when(~F.col("parse_ok"), "partial").otherwise("index")
+    return rows.withColumns({"confidence": level, "action": action})
 
 
 def confidence_health(rows: DataFrame, confidence: str = "confidence") -> DataFrame:

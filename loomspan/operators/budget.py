@@ -59,7 +59,7 @@ def greedy_budget(
                 n, s = rows.at[i, "token_count"], rows.at[i, "score"]
                 if n > left:
                     continue
-                g = s + (diversity if rows.at[i, "file_path"] not in files else 0.0) + (0.1 * s / n if n else 0.0)
+                g = s + (diversity if rows.at[i, "file_path"] not in files else 0.0) + 0.1 * s / max(n, 1)
                 if gain is None or g > gain:
                     best, gain = i, g
             if best is None:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..functions.text import bm25_tokens, embedding_tokens
+from ..functions.text import bm25_count, bm25_length, bm25_normal, bm25_tokens, embedding_tokens
 
 
 @dataclass
@@ -77,8 +77,8 @@ def bm25_search(docs: DataFrame, query: str, k: int = 10, key: str = "id", conte
     empty = docs.select(F.col(key).alias("id"), F.lit(0.0).alias("score")).limit(0)
     if not terms:
         return empty
-    tokens = F.coalesce(bm25_tokens(content), F.array().cast("array<string>"))
-    rows = docs.select(F.col(key).alias("id"), tokens.alias("t")).select("id", F.size("t").alias("len"), *[_occurrences(F.col("t"), w).alias(f"tf{i}") for i, w in enumerate(terms)])
+    rows = docs.select(F.col(key).alias("id"), F.coalesce(bm25_normal(content), F.lit(" ")).alias("t"))
+    rows = rows.select("id", bm25_length(F.col("t")).alias("len"), *[bm25_count(F.col("t"), w).alias(f"tf{i}") for i, w in enumerate(terms)])
     corpus = rows.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i, w in enumerate(terms):
@@ -87,10 +87,6 @@ def bm25_search(docs: DataFrame, query: str, k: int = 10, key: str = "id", conte
     return rows.filter(hit).crossJoin(F.broadcast(corpus)).select("id", score.alias("score")).orderBy(F.desc(F.round("score", 6)), "id").limit(k)
 
 
-def _occurrences(tokens: Column, word: str) -> Column:
-    return F.size(F.filter(tokens, lambda x: x == word))
-
-
 def query_tokens(spark: SparkSession, query: str) -> list[str]:
     return spark.range(1).select(bm25_tokens(F.lit(query)).alias("t")).head().t
 

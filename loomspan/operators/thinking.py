@@ -9,7 +9,7 @@ from ..functions.scoring import confidence_level
 from .graph import khop
 
 MAX_BRANCHES = 3
-NEXT = {"analysis": "hypothesis", "hypothesis": "verification", "verification": "conclusion", "revision": "verification", "question": "analysis", "conclusion": "conclusion"}
+MOST_THOUGHTS, SURE, WEAK = 10, 0.7, 0.5
 
 
 def with_parents(thoughts: DataFrame, branch_points: DataFrame | None = None) -> DataFrame:
@@ -55,21 +55,19 @@ def confidence(thoughts: DataFrame, by: list[str], order: list[str], value: str
     return rows.withColumn("level", confidence_level(F.col("confidence")))
 
 
-def needs_revision(value: Column) -> Column:
-    return value < 0.5
+def next_steps(thoughts: DataFrame, most: int = MOST_THOUGHTS, sure: float = SURE) -> DataFrame:
+    """(session_id, go_on, revise, suggested) of each session.
 
-
-def next_type(kind: Column, value: Column) -> Column:
-    """A weak thought is revised; else what follows its type."""
-    table = F.create_map(*[F.lit(x) for item in NEXT.items() for x in item])
-    return F.when(needs_revision(value), "revision").otherwise(F.coalesce(F.try_element_at(table, kind), F.lit("analysis")))
-
-
-def next_steps(thoughts: DataFrame, most: int = 10) -> DataFrame:
-    """(session_id, go_on, revise, suggested) from the last thought of each session."""
-    last = thoughts.groupBy("session_id").agg(F.max_by(F.struct("type", "confidence"), "number").alias("l"), F.count("*").alias("n"))
-    go = (F.col("n") < most) & ~((F.col("l.type") == "conclusion") & (F.col("l.confidence") >= 0.8))
-    return last.select("session_id", go.alias("go_on"), needs_revision(F.col("l.confidence")).alias("revise"), next_type(F.col("l.type"), F.col("l.confidence")).alias("suggested"))
+    It goes on until it has `most` thoughts, or the last is a conclusion or a verification that is sure. revise is the number
+    of the first weak thought that is neither a revision nor a conclusion, in a session of two thoughts or more.
+    """
+    weak = (F.col("confidence") < WEAK) & ~F.col("type").isin("revision", "conclusion")
+    rows = thoughts.groupBy("session_id").agg(F.max_by(F.struct("type", "confidence"), "number").alias("last"), F.count("*").alias("n"), F.min(F.when(weak, F.col("number"))).alias("weak"))
+    kind, is_sure = F.col("last.type"), F.col("last.confidence") >= sure
+    stop = (F.col("n") >= most) | (kind == "conclusion") | ((kind == "verification") & is_sure)
+    after = F.when(kind == "analysis", F.when(F.col("n") < 3, "analysis").otherwise("hypothesis")).when(kind == "hypothesis", "verification")
+    after = after.when((kind == "verification") & is_sure, "conclusion").when(kind == "revision", "analysis").when(F.col("n") >= most - 1, "conclusion").otherwise("analysis")
+    return rows.select("session_id", (~stop).alias("go_on"), F.when(F.col("n") >= 2, F.col("weak")).alias("revise"), after.alias("suggested"))
 
 
 def finalize(thoughts: DataFrame) -> DataFrame:

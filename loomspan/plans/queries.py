@@ -718,8 +718,9 @@ def thought_confidence(spark, sf):
     return thinking.confidence(thoughts(spark, sf), ["session_id"], ["number"]).withColumn("confidence", F.round("confidence", 6))
 
 
-@query(f"""with {_TH}, l as (select session_id, count(*) as n, arg_max(type, number) as type, arg_max(c, number) as c from th group by 1)
-select session_id, n < 10 as go_on, c < 0.5 as revise, case when c < 0.5 then 'revision' when type = 'analysis' then 'hypothesis' when type = 'hypothesis' then 'verification' when type = 'verification' then 'conclusion' when type = 'revision' then 'verification' else 'analysis' end as suggested from l""")
+@query(f"""with {_TH}, l as (select session_id, count(*) as n, arg_max(type, number) as type, arg_max(c, number) as c, min(case when c < 0.5 and type <> 'revision' then number end) as weak from th group by 1)
+select session_id, n < 10 and not (type = 'verification' and c >= 0.7) as go_on, case when n >= 2 then weak end as revise, case when type = 'analysis' then case when n < 3 then 'analysis' else 'hypothesis' end
+when type = 'hypothesis' then 'verification' when type = 'verification' and c >= 0.7 then 'conclusion' when type = 'revision' then 'analysis' when n >= 9 then 'conclusion' else 'analysis' end as suggested from l""")
 def next_step(spark, sf):
     return thinking.next_steps(thoughts(spark, sf))
 

@@ -195,8 +195,8 @@ def test_analytics(spark):
     assert set(got) == {"long-parameter-list", "deep-nesting", "magic-number", "god-class", "duplicate-code"} and got["god-class"].severity == "medium"
     report_ = {(r.kind, r.name): r.n for r in analytics.smell_report(analytics.smells(f, cls, files)).collect()}
     assert report_[("type", "dead-code")] == 0 and report_[("type", "god-class")] == 1
-    v = analytics.validate(spark.createDataFrame([("a", "x\0y", 3), ("b", "", 0), ("c", "fine", 4)], "path string, content string, size long"))
-    assert {r.path: r.action for r in v.collect()} == {"a": "skip", "b": "warn", "c": "index"}
+    v = analytics.validate(spark.createDataFrame([("a", "x\0y", True), ("b", "", False), ("c", "fine", True), ("d.png", "x", True), ("e", None, True)], "path string, content string, ok boolean"), "ok")
+    assert {r.path: (r.confidence, r.action) for r in v.collect()} == {"a": ("low", "skip"), "b": ("medium", "partial"), "c": ("high", "index"), "d.png": ("low", "skip"), "e": ("low", "skip")}
 
 
 def history(spark):
@@ -224,7 +224,7 @@ def test_thinking(spark):
     f = thinking.finalize(t).head()
     assert f.conclusion == "so" and f.confidence == pytest.approx((0.9 + 1.5 * 0.6 + 2 * 0.2) / 4.5) and f.files == ["f", "g"]
     n = thinking.next_steps(t).head()
-    assert n.revise and n.suggested == "revision" and thinking.may_branch(t).head().may and thinking.tree_stats(t).head().revisions == 1
+    assert n.go_on and n.revise == 3 and n.suggested == "verification" and thinking.may_branch(t).head().may and thinking.tree_stats(t).head().revisions == 1
     assert "a --> b" in thinking.to_mermaid(p).head().mermaid
 
 
