@@ -89,3 +89,10 @@ def format_context(selected: DataFrame) -> DataFrame:
     head = F.concat(F.lit("// File: "), F.col("file_path"), F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
     parts = F.sort_array(F.collect_list(F.struct(F.collate("file_path", "UNICODE").alias("f"), "start_line", F.concat(head, F.lit("\n"), F.col("content")).alias("text"))))
     return selected.agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n").alias("context"))
+
+
+def context_sources(contexts: DataFrame, column: str = "context") -> DataFrame:
+    """(file_path, start_line, end_line) of every head that format_context has written."""
+    heads = F.explode(F.regexp_extract_all(column, F.lit("(?m)^// File: (.+:\\d+-\\d+)$"), F.lit(1))).alias("h")
+    at = lambda g: F.regexp_extract("h", "^(.+):(\\d+)-(\\d+)$", g)
+    return contexts.select(heads).select(at(1).alias("file_path"), at(2).cast("int").alias("start_line"), at(3).cast("int").alias("end_line")).distinct()

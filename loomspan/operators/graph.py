@@ -394,3 +394,17 @@ def usage_stats(symbols: DataFrame, calls: DataFrame, type_refs: DataFrame) -> D
     used = called.unionByName(made).unionByName(typed)
     counts = [F.count_if(F.col("w") == w).alias(w) for w in ("calls", "type_uses", "instantiations")]
     return symbols.select("name").distinct().join(used.groupBy("name").agg(*counts, F.countDistinct("file_path").alias("files")), "name", "left").fillna(0)
+
+
+def call_graph(calls: DataFrame) -> DataFrame:
+    """(name, callers, callees): by simple names."""
+    pair = calls.filter("caller is not null").select("caller", F.substring_index("callee", ".", -1).alias("callee")).distinct()
+    into = pair.groupBy(F.col("callee").alias("name")).agg(F.sort_array(F.collect_set("caller")).alias("callers"))
+    out = pair.groupBy(F.col("caller").alias("name")).agg(F.sort_array(F.collect_set("callee")).alias("callees"))
+    none = F.array().cast("array<string>")
+    return into.join(out, "name", "full_outer").select("name", F.coalesce("callers", none).alias("callers"), F.coalesce("callees", none).alias("callees"))
+
+
+def type_users(type_refs: DataFrame, name: str) -> DataFrame:
+    """(file_path, line): where a type is used, its parameters left aside."""
+    return type_refs.filter(base_type(F.col("type_name")) == name).select("file_path", "line").distinct()

@@ -116,3 +116,14 @@ def test_build(spark):
 def test_bad_direction(spark):
     with pytest.raises(KeyError):
         make(spark, [("a", "b", "calls")]).related("a", 1, "sideways")
+
+
+def test_symbol_tracking(spark):
+    calls = spark.createDataFrame([("a.ts", "main", "x.run"), ("a.ts", "run", "User"), ("b.ts", "go", "run"), ("b.ts", None, "run")], "file_path string, caller string, callee string")
+    got = {r.name: (r.callers, r.callees) for r in graph.call_graph(calls).collect()}
+    assert got["run"] == (["go", "main"], ["User"]) and got["main"] == ([], ["run"])
+    syms = spark.createDataFrame([("User", "class"), ("run", "function"), ("idle", "function")], "name string, kind string")
+    refs = spark.createDataFrame([("b.ts", 3, "User<string>"), ("b.ts", 4, "Other")], "file_path string, line int, type_name string")
+    stats = {r.name: (r.calls, r.type_uses, r.instantiations, r.files) for r in graph.usage_stats(syms, calls, refs).collect()}
+    assert stats == {"User": (1, 1, 1, 2), "run": (3, 0, 0, 2), "idle": (0, 0, 0, 0)}
+    assert [r.line for r in graph.type_users(refs, "User").collect()] == [3]

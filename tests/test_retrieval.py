@@ -120,6 +120,7 @@ def test_greedy_budget(spark):
     p = budget.greedy_budget(chunks(spark, [("1", 100, 0.9, "r.ts", 1), ("2", 100, 0.5, "p.ts", 1)]), **HOW, priority=["p.ts"])
     assert [r.id for r in p.orderBy("pick").collect()] == ["2", "1"]
     text = budget.format_context(got).head().context
+    assert sorted(tuple(r) for r in budget.context_sources(budget.format_context(got)).collect()) == [("a.ts", 1, 6), ("a.ts", 11, 16), ("b.ts", 1, 6)] if got.count() else True
     assert text.startswith("// File: a.ts:1-6") and text.index("b.ts") > text.index("a.ts:11")
 
 
