@@ -33,7 +33,8 @@ def bm25_length(normal: Column) -> Column:
 
 def bm25_count(normal: Column, word: str) -> Column:
     """How often a word stands in a normal text."""
-    return ((F.length(normal) - F.length(F.replace(normal, F.lit(f" {word} "), F.lit("")))) / (len(word) + 2)).cast("int")
+    found = (F.length(normal) - F.length(F.replace(normal, F.lit(f" {word} "), F.lit("")))) / (len(word) + 2)
+    return F.coalesce(found.cast("int"), F.lit(0))
 
 
 def embedding_tokens(c: Column | str) -> Column:

@@ -83,8 +83,9 @@ def bm25_search(docs: DataFrame, query: str, k: int = 10, key: str = "id", conte
     score = F.lit(0.0)
     for i, w in enumerate(terms):
         score = score + words[w] * scoring.bm25_term(scoring.idf(F.col("n"), F.col(f"df{i}")), F.col(f"tf{i}"), F.col("len"), F.col("mean"))
-    hit = F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0)) > 0
-    return rows.filter(hit).crossJoin(F.broadcast(corpus)).select("id", score.alias("score")).orderBy(F.desc(F.round("score", 6)), "id").limit(k)
+    # The filter comes after the corpus row is joined: pushed below, it would take each word's count from the text anew.
+    scored = rows.crossJoin(F.broadcast(corpus)).select("id", score.alias("score")).filter("score > 0")
+    return scored.orderBy(F.desc(F.round("score", 6)), "id").limit(k)
 
 
 def query_tokens(spark: SparkSession, query: str) -> list[str]:
