@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, small_batches
 
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>", re.S | re.I)
 _SECTION = re.compile(r"</?(?:nav|header|footer|main|article|section|aside|form|table|body)\b[^>]*>", re.I)
@@ -76,5 +76,5 @@ def extract(pages: DataFrame, width: int = 3, surge: int = 86, column: str = "ht
 
     got = fresh(pages, "__got")
     names = [fresh(pages, n) for n in ("text", "passages", "kept_lines")]
-    done = pages.withColumn(got, F.pandas_udf(run, "text string, passages int, kept_lines int")(F.col(column)))
+    done = small_batches(pages).withColumn(got, F.pandas_udf(run, "text string, passages int, kept_lines int").asNondeterministic()(F.col(column)))
     return done.select(*[F.col(f"`{c}`") for c in pages.columns], *[F.col(got)[n].alias(as_) for n, as_ in zip(("text", "passages", "kept_lines"), names)])

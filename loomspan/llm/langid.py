@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, seeded_unit
+from .common import fresh, seeded_unit, small_batches
 
 #: Bounds of the sample that dictionaries are made of: rows of each language, and bytes of each dictionary.
 SAMPLE_ROWS, DICTIONARY_BYTES, PIECE_BYTES = 400, 65536, 4096
@@ -69,10 +69,10 @@ def identify(docs: DataFrame, dictionaries: Mapping[str, bytes], margin: float =
                 gap.append(m)
             yield pd.DataFrame({"detected": best, "margin": gap})
 
-    found = F.pandas_udf(classify, "detected string, margin double")
+    found = F.pandas_udf(classify, "detected string, margin double").asNondeterministic()  # a filter on it mustn't run it again
     got, detected, gap = fresh(docs, "__got"), fresh(docs, "detected"), fresh(docs, "margin")
     none = F.struct(F.lit(None).cast("string").alias("detected"), F.lit(0.0).alias("margin"))
-    scored = docs.withColumn(got, found(F.lower(F.col(text))) if names else none)
+    scored = small_batches(docs).withColumn(got, found(F.lower(F.col(text))) if names else none)
     return scored.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(got)["detected"].alias(detected), F.col(got)["margin"].alias(gap))
 
 

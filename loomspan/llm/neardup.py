@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HASH_A, HASH_B, Bloom, PrefixHash, chunks, fresh, mix, text_bytes, words, written
+from .common import HASH_A, HASH_B, Bloom, PrefixHash, chunks, fresh, mix, small_batches, text_bytes, words, written
 
 #: Registers are max(floor(1 - log_b h)) clipped to 0..Q+1, h being exponential with rate A: 16 bits each.
 REGISTERS, BASE, RATE, Q = 160, 1.001, 20.0, 2**16 - 2
@@ -112,7 +112,7 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int
                 take = lambda raw, w: pa.Array.from_buffers(pa.binary(w), len(some), [None, pa.py_buffer(raw)]).cast(pa.binary()).take(pick)
                 yield pa.record_batch([part.column("key"), take(contents, 16), take(k, 2 * REGISTERS)], schema=schema)
 
-    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.lower(F.col(text)).alias("text"))
+    rows = small_batches(docs).filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.lower(F.col(text)).alias("text"))
     return rows.mapInArrow(sketch, "doc_id long, content binary, sketch binary")
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TOKENIZER_DIR, chunks, encoder, text_bytes, written
+from .common import TOKENIZER_DIR, chunks, encoder, small_batches, text_bytes, written
 
 
 class CapacityTree:
@@ -103,7 +103,7 @@ def token_lengths(docs: DataFrame, tokenizer: str = f"{TOKENIZER_DIR}/byte_bpe_m
                 data, starts = text_bytes(part.column("text"))
                 yield pa.record_batch([part.column("key"), pa.array(encoder(tokenizer).count(data, starts) + 1, pa.int32())], [key, "n_tokens"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(count, schema)
+    return small_batches(docs).select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(count, schema)
 
 
 def pack_windows(lengths: DataFrame, window: int, key: str = "doc_id", length: str = "n_tokens", buckets: int = 256) -> DataFrame:

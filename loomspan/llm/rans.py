@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKENIZER_DIR, chunks, encoder, text_bytes, written
+from .common import TOKENIZER_DIR, chunks, encoder, small_batches, text_bytes, written
 
 LOW = 1 << 31  # states stay in [2^31, 2^63); words of 32 bits leave and enter
 
@@ -122,7 +122,7 @@ def tokenized(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
                 flat = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
                 yield pa.record_batch([part.column("key").cast(pa.int64()), flat], ["key", "tokens"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(encode, "key long, tokens binary")
+    return small_batches(docs).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(encode, "key long, tokens binary")
 
 
 def encode_corpus(
