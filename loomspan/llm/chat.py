@@ -2,46 +2,20 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKENIZER_DIR
+from .common import TOKENIZER_DIR, chunks, encoder, small_batches, text_bytes
 
 #: How a turn is written; what stands after the header, to the end of END, is the turn's own.
 HEADER, END = "<|{role}|>\n", "<|end|>\n"
 
-_tokenizers: dict = {}
-
-
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _tokenizers:
-        from tokenizers import Tokenizer
-
-        _tokenizers[path] = Tokenizer.from_file(path)
-        _tokenizers[path].encode_special_tokens = True  # in a text they are ordinary text
-    return _tokenizers[path]
-
-
-def render(roles: list[str], texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
-    """The conversation as one text, and where each turn's own part begins and ends, ascending."""
-    parts, begins, ends, at = [], [], [], 0
-    for role, text in zip(roles, texts):
-        head, body = HEADER.format(role=role), (text or "") + END
-        parts += [head, body]
-        begins.append(at + len(head))
-        at += len(head) + len(body)
-        ends.append(at)
-    return "".join(parts), np.array(begins, np.int64), np.array(ends, np.int64)
-
-
 def mask_of(offsets: np.ndarray, begins: np.ndarray, ends: np.ndarray, trained: np.ndarray) -> np.ndarray:
-    """1 for tokens that lie wholly within a trained turn's part, by binary search of each token's start among the turns."""
+    """1 for tokens (begin, end) that lie wholly within a trained turn's part, by binary search of each token's begin among the turns."""
     if not len(offsets) or not len(begins):
         return np.zeros(len(offsets), np.int8)
     turn = np.searchsorted(begins, offsets[:, 0], "right") - 1
@@ -50,7 +24,7 @@ def mask_of(offsets: np.ndarray, begins: np.ndarray, ends: np.ndarray, trained:
 
 
 def format_chats(
-    turns: DataFrame, tokenizer: str = f"{TOKENIZER_DIR}/byte_bpe_50k.json", train_roles: tuple[str, ...] = ("assistant",),
+    turns: DataFrame, tokenizer: str = f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken", train_roles: tuple[str, ...] = ("assistant",),
     conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
 ) -> DataFrame:
     """(conv_id, n_turns, rendered, token_ids, loss_mask, n_trained): one row for each conversation.
@@ -64,23 +38,34 @@ def format_chats(
     to none and are left out. Repeated rows are turns each. Whole texts are encoded, however long. Extra columns are
     ignored. No rows: no conversations.
 
-    How it runs: one shuffle by conversation, sorted lists of turns, then Arrow batches through the tokenizer.
+    How it runs: one shuffle by conversation; rendering and the bytes of each turn's part are expressions. Places are counted in
+    UTF-8 bytes, as the tokenizer's tokens are bytes. Conversations of an Arrow batch stand end to end, so one binary search
+    finds the turns of all their tokens.
     """
     one = F.struct(F.col(turn).alias("n"), F.coalesce(F.col(role).cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    chats = turns.filter(F.col(conversation).isNotNull()).groupBy(F.col(conversation).alias("conv_id")).agg(F.sort_array(F.collect_list(one)).alias("t"))
+    chats = small_batches(turns).filter(F.col(conversation).isNotNull()).groupBy(F.col(conversation).alias("conv_id")).agg(F.sort_array(F.collect_list(one)).alias("t"))
+    head, body = F.transform("t", lambda x: F.format_string(HEADER.format(role="%s"), x["role"])), F.transform("t", lambda x: F.concat(x["text"], F.lit(END)))
+    rendered = F.array_join(F.zip_with(head, body, lambda h, b: F.concat(h, b)), "")
+    trained = F.transform("t", lambda x: x["role"].isin(*train_roles) if train_roles else F.lit(False))
+    sizes = lambda parts: F.transform(parts, lambda x: F.octet_length(x))
+    made = chats.select("conv_id", rendered.alias("rendered"), sizes(head).alias("heads"), sizes(body).alias("bodies"), trained.alias("trained"))
     schema = f"conv_id {dict(chats.dtypes)['conv_id']}, n_turns int, rendered string, token_ids array<int>, loss_mask array<byte>, n_trained int"
 
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made = _tokenizer(tokenizer)
-        for f in frames:
-            for low in range(0, len(f), 256):
-                part = f.iloc[low : low + 256]
-                rendered = [render(list(r), list(t)) for r, t in zip(part["roles"], part["texts"])]
-                ids, masks = [], []
-                for (_, begins, ends), roles, e in zip(rendered, part["roles"], made.encode_batch([r[0] for r in rendered], add_special_tokens=False)):
-                    trained = np.array([r in train_roles for r in roles], bool)
-                    masks.append(mask_of(np.array(e.offsets, np.int64).reshape(-1, 2), begins, ends, trained))
-                    ids.append(np.array(e.ids, np.int32))
-                yield pd.DataFrame({"conv_id": part["conv_id"].to_numpy(), "n_turns": [len(r) for r in part["roles"]], "rendered": [r[0] for r in rendered], "token_ids": ids, "loss_mask": masks, "n_trained": [int(m.sum()) for m in masks]})
-
-    return chats.select("conv_id", F.col("t.role").alias("roles"), F.col("t.text").alias("texts")).mapInPandas(encode, schema)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "rendered"):
+                data, starts = text_bytes(part.column("rendered"))
+                e = encoder(tokenizer)
+                ids, n = e.encode(data, starts)
+                ends = np.cumsum(e.lengths[ids])  # texts stand end to end, and so do their tokens and turns
+                lists = [part.column(c) for c in ("heads", "bodies", "trained")]
+                head, body, trained = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in lists)
+                stop = np.cumsum(head + body)
+                mask = mask_of(np.stack([ends - e.lengths[ids], ends], 1), stop - body, stop, trained.astype(bool))
+                cuts = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                total = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
+                tokens, masks = (pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (ids.astype(np.int32), mask))
+                columns = [part.column("conv_id"), pa.array(np.diff(lists[0].offsets.to_numpy()).astype(np.int32)), part.column("rendered"), tokens, masks, pa.array(np.diff(total[cuts]).astype(np.int32))]
+                yield pa.record_batch(columns, ["conv_id", "n_turns", "rendered", "token_ids", "loss_mask", "n_trained"])
+
+    return made.mapInArrow(encode, schema)
