@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import language_of
+from .layout import spread
 
 SYMBOLS = "file_path string, name string, kind string, line int, end_line int, exported boolean, is_async boolean, parent string, params array<string>, return_type string, extends array<string>, implements array<string>"
 IMPORTS = "file_path string, source string, names array<string>, is_default boolean, is_namespace boolean, line int"
@@ -197,7 +198,7 @@ def _rows(files: DataFrame, make, schema: str) -> DataFrame:
             yield pd.DataFrame(out, columns=names)
 
     lang = F.col("language") if "language" in files.columns else language_of("path")
-    return files.select("path", "content", lang.alias("language")).mapInPandas(run, schema)
+    return spread(files.select("path", "content", lang.alias("language"))).mapInPandas(run, schema)
 
 
 def symbols(files: DataFrame) -> DataFrame:

@@ -248,6 +248,7 @@ def _pairs(edges: DataFrame, direction: str) -> DataFrame:
 def khop(pairs: DataFrame, seeds: DataFrame, depth: int | None, stop: str | None = None) -> DataFrame:
     """(id, depth): breadth first from the seeds over (from, to). Each round joins the frontier with the edges and leaves out
     what was reached; what is kept is written, so the plan doesn't grow."""
+    pairs = cut(pairs.filter(F.col("from") != F.col("to")).distinct())
     frontier = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     reached, at = frontier, 0
     while depth is None or at < depth:
@@ -263,7 +264,7 @@ def khop(pairs: DataFrame, seeds: DataFrame, depth: int | None, stop: str | None
 
 
 def shortest_path(pairs: DataFrame, a: str, b: str, most: int = 10) -> DataFrame:
-    spark = pairs.sparkSession
+    spark, pairs = pairs.sparkSession, cut(pairs.filter(F.col("from") != F.col("to")).distinct())
     frontier = spark.createDataFrame([(a, [a])], "id string, path array<string>")
     reached = frontier.select("id")
     for _ in range(most + 1):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.text import bm25_count, bm25_length, bm25_normal, bm25_tokens, embedding_tokens
+from .layout import spread
 
 
 @dataclass
@@ -21,7 +22,7 @@ class InvertedIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, key: str = "id", content: str = "content") -> InvertedIndex:
-        tokens = docs.select(F.col(key).alias("id"), F.coalesce(bm25_tokens(content), F.array().cast("array<string>")).alias("tokens"))
+        tokens = spread(docs.select(key, content)).select(F.col(key).alias("id"), F.coalesce(bm25_tokens(content), F.array().cast("array<string>")).alias("tokens"))
         postings = tokens.select("id", F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
         return cls(postings, tokens.select("id", F.size("tokens").alias("len")))
 
@@ -77,7 +78,7 @@ def bm25_search(docs: DataFrame, query: str, k: int = 10, key: str = "id", conte
     empty = docs.select(F.col(key).alias("id"), F.lit(0.0).alias("score")).limit(0)
     if not terms:
         return empty
-    rows = docs.select(F.col(key).alias("id"), F.coalesce(bm25_normal(content), F.lit(" ")).alias("t"))
+    rows = spread(docs.select(key, content)).select(F.col(key).alias("id"), F.coalesce(bm25_normal(content), F.lit(" ")).alias("t"))
     rows = rows.select("id", bm25_length(F.col("t")).alias("len"), *[bm25_count(F.col("t"), w).alias(f"tf{i}") for i, w in enumerate(terms)])
     corpus = rows.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     score = F.lit(0.0)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..functions import text as tx
 from ..operators import analytics, budget, extract, graph, incremental, library, memory, retrieval, sharing, thinking
+from ..operators.layout import spread
 from ..streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,8 +33,13 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose texts are costly to work on."""
+    return spread(t(spark, sf_dir, name))
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source", "lang", "n_chars")
+    return texts(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source", "lang", "n_chars")
 
 
 TOK = "list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: len(w) between 2 and 50 and not regexp_matches(w, '^[0-9]+$'))"
@@ -447,7 +453,7 @@ def code(spark, sf):
     c = F.col("text")
     for word, sign in ((" the ", " if (x) "), (" and ", " && "), (" of ", " { "), (" in ", " } "), (" with ", " return "), (" to ", " 42 ")):
         c = F.replace(c, F.lit(word), F.lit(sign))
-    return t(spark, sf, "documents").select("doc_id", "source", c.alias("code"))
+    return texts(spark, sf).select("doc_id", "source", c.alias("code"))
 
 
 def functions(spark, sf):
@@ -513,7 +519,7 @@ def smells_severe(spark, sf):
 @query("""with l as (select doc_id, string_split(regexp_replace(text, '[.] ', chr(10), 'g'), chr(10)) as l from documents), b as (select doc_id, i as line, regexp_replace(array_to_string(l[i : i + 5], chr(10)), '^\\s+|\\s+$', '', 'g') as block from (select doc_id, l, unnest(range(1, len(l) - 5)) as i from l where len(l) > 6)),
 k as (select * from b where length(block) >= 50) select distinct a.doc_id, a.line from k a join k z on a.doc_id = z.doc_id and a.block = z.block and z.line >= a.line + 6""")
 def duplicate_blocks(spark, sf):
-    d = t(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "[.] ", "\n").alias("content"))
+    d = texts(spark, sf).select("doc_id", F.regexp_replace("text", "[.] ", "\n").alias("content"))
     return analytics.duplicate_blocks(d, "doc_id").select(F.col("file_path").alias("doc_id"), "line")
 
 
@@ -528,7 +534,7 @@ _PATS = " union all ".join(f"select path, '{n}' as name, '{c}' as category, {k}
 @query(f"with x as (select url as path, lower(html) || ' ' || case page_id % 17 when 0 then 'redis' when 1 then 'jwt' when 2 then 'graphql' else '' end as low from pages), p as ({_PATS}) select name, category, round(least(count(*) / max(k)::double, 1), 6) as confidence, count(*) as n from p group by 1, 2")
 def pattern_confidence(spark, sf):
     hint = F.element_at(F.array(F.lit("redis"), F.lit("JWT"), F.lit("GraphQL"), *[F.lit("")] * 14), (F.col("page_id") % 17 + 1).cast("int"))
-    p = t(spark, sf, "pages").select(F.col("url").alias("path"), F.concat("html", F.lit(" "), hint).alias("content"))
+    p = texts(spark, sf, "pages").select(F.col("url").alias("path"), F.concat("html", F.lit(" "), hint).alias("content"))
     return analytics.patterns(p).select("name", "category", F.round("confidence", 6).alias("confidence"), F.size("files").cast("long").alias("n"))
 
 
