@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.layout import spread
+
 TOKENIZER_DIR = "/opt/tokenizers"
 #: Bytes of text that a Python worker handles at once; it bounds memory, not the work.
 CHUNK_BYTES = 1_000_000
@@ -57,12 +59,15 @@ BATCH_ROWS, BATCH_BYTES = 1000, 4_000_000
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches are small enough for long texts. What the session has set itself stays."""
+    """df, in a session whose Arrow batches are small enough for long texts. What the session has set itself stays.
+
+    If df comes in fewer partitions than there are cores, as a table of one small file does, its rows are dealt out over all.
+    """
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
         if df.sparkSession.conf.get(key, None) is None:
             df.sparkSession.conf.set(key, str(most))
-    return df
+    return spread(df)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
