@@ -19,26 +19,47 @@ SAMPLE_ROWS, DICTIONARY_BYTES, PIECE_BYTES = 400, 65536, 4096
 def train_dictionaries(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = DICTIONARY_BYTES, seed: int = 0, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """Raw-content dictionaries from a seeded sample of at most `rows` labelled rows for each language.
 
-    Rows without label, key or text give nothing. Each sampled text gives an equal part of the dictionary. A language
-    with no usable row has no dictionary.
+    Rows without label, key or text give nothing. Each sampled text gives an equal part of the `size` bytes, or the whole
+    of itself if it is shorter; what short texts leave is dealt out to the longer ones. So the part is at least size / the
+    rows really sampled of that language, and grows as they get fewer. It lies at a seeded offset, uniform over the whole
+    text, so that common openings don't fill the dictionaries. A language with no usable row has no dictionary.
     """
     usable = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     counts = {r[lang]: r["n"] for r in docs.filter(F.col(lang).isNotNull()).groupBy(lang).agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for k in sorted(counts) for x in (k, min(1.0, 2.0 * rows / counts[k]))])[F.col(lang)]
-    u = seeded_unit(seed, F.col(key))
-    part = max(64, 4 * size // rows)
-    sample = usable.filter(u < share).select(F.col(lang).alias("l"), u.alias("u"), F.lower(F.substring(text, 1, part)).alias("t")).collect()
-    made = {}
+    u, lowered = seeded_unit(seed, F.col(key)), F.lower(F.col(text))
+    drawn = usable.filter((u < share) & F.col(text).rlike(r"\S")).select(F.col(lang).alias("l"), u.alias("u"), lowered.alias("t"), F.char_length(lowered).alias("chars"), F.octet_length(lowered).alias("bytes"), seeded_unit(f"{seed}|offset", F.col(key)).alias("v"))
+    found = drawn.select("l", "u", "bytes").collect()
+    most, last = {}, {}
     for name in sorted(counts):
-        texts = [r.t for r in sorted((r for r in sample if r.l == name), key=lambda r: (r.u, r.t))[:rows] if r.t.strip()]
-        if texts:
-            each = max(1, size // len(texts))
-            made[name] = b"\n".join(t.encode()[:each] for t in texts)[:size]
+        taken = sorted((r.u, r.bytes) for r in found if r.l == name)[:rows]
+        if taken:
+            most[name], last[name] = _equal_part([n for _, n in taken], size), taken[-1][0]
+    if not most:
+        return {}
+    each, upto = (F.create_map(*[F.lit(x) for k in most for x in (k, of[k])])[F.col("l")] for of in (most, last))
+    part = F.least(F.col("chars"), F.ceil(each * F.col("chars") / F.col("bytes")).cast("int"))  # in characters
+    start = (F.floor(F.col("v") * (F.col("chars") - part + 1)) + 1).cast("int")
+    sample = drawn.filter(F.col("u") <= upto).select("l", "u", F.substring("t", start, part).alias("t")).collect()
+    made = {}
+    for name in most:
+        texts = [r.t for r in sorted((r for r in sample if r.l == name), key=lambda r: (r.u, r.t))[:rows]]
+        made[name] = b"\n".join(t.encode()[: most[name]] for t in texts)[:size]
     return made
 
 
+def _equal_part(sizes: list[int], total: int) -> int:
+    """The part p for which the sum of min(size, p) comes up to `total`; the largest size if all fit."""
+    sizes = sorted(sizes)
+    for i, n in enumerate(sizes):
+        if n * (len(sizes) - i) >= total:
+            return max(1, total // (len(sizes) - i))
+        total -= n
+    return max(1, sizes[-1])
+
+
 def identify(docs: DataFrame, dictionaries: Mapping[str, bytes], margin: float = 0.005, level: int = 5, piece: int = PIECE_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(all columns of docs, detected, margin): the language whose dictionary makes the text smallest.
 

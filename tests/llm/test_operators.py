@@ -214,6 +214,24 @@ def test_language_hard_rows(spark, hard, empty):
     assert one.detected == "en"
 
 
+def test_language_of_texts_that_open_alike(spark):
+    """A notice longer than a text's part mustn't become all of every dictionary."""
+    notice = "Copyright 2024. All rights reserved. Redistribution is permitted under the terms of the licence below. " * 8
+    docs = table(spark, "/root/testdata/sf0.01", "documents").filter("n_chars >= 200").withColumn("text", F.concat(F.lit(notice), "text"))
+    made = langid.train_dictionaries(docs.filter("doc_id % 2 = 0"))
+    rows = langid.identify(docs.filter("doc_id % 2 = 1"), made).select("lang", "detected").collect()
+    assert sum(r.lang == r.detected for r in rows) > 0.95 * len(rows)
+
+
+def test_language_dictionaries_reach_whole_texts(spark):
+    text = " ".join(f"w{i}" for i in range(20000))
+    docs = spark.createDataFrame([(i, text, "a") for i in range(20)] + [(99, "short", "a"), (100, "été " * 9000, "b"), (101, " ", "c")], "doc_id long, text string, lang string")
+    made = langid.train_dictionaries(docs, rows=50, size=20000)
+    places = [int(w[1:]) for w in made["a"].decode().split() if w[1:].isdigit() and len(w) == 6]
+    assert set(made) == {"a", "b"} and max(places) > 15000 and b"short" in made["a"] and all(19000 < len(d) <= 20000 for d in made.values())
+    assert langid._equal_part([5, 100, 100], 25) == 10 and langid._equal_part([5, 6], 25) == 6 and langid._equal_part([9, 9, 9], 2) == 1
+
+
 # --- 5 ---
 
 
