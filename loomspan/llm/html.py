@@ -14,16 +14,34 @@ from pyspark.sql import functions as F
 from .common import fresh, small_batches
 
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>", re.S | re.I)
-_SECTION = re.compile(r"</?(?:nav|header|footer|main|article|section|aside|form|table|body)\b[^>]*>", re.I)
-_BREAK = re.compile(r"</?(?:p|div|li|ul|ol|dl|dt|dd|tr|td|th|h[1-6]|option|select|blockquote|pre|figure|figcaption|html|title|br|hr)\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z][^>]*>")
+_SECTIONS = "nav|header|footer|main|article|section|aside|form|body"
+_BLOCKS = "p|div|li|ul|ol|dl|dt|dd|table|tr|td|th|h[1-6]|option|select|blockquote|pre|figure|figcaption|html|title|br|hr"
+_SECTION = re.compile(rf"<(/?)({_SECTIONS})\b[^>]*>", re.I)
+_RUN = re.compile(rf"(?:</?(?:{_SECTIONS}|{_BLOCKS})\b[^>]*>\s*+)++", re.I)
+_INLINE = re.compile(rf"</?(?!(?:{_SECTIONS}|{_BLOCKS})\b)[a-zA-Z][^>]*>", re.I)
+_NBSP = re.compile("&nbsp;|&#160;|&#xa0;", re.I)
 _SPACE = re.compile(r"[^\S\n]+")
 
 
-def lines_of(page: str) -> list[str]:
-    """The page's lines of text: markup is gone, each block tag has ended a line and each tag of a section two, entities are resolved."""
-    text = _TAG.sub("", _BREAK.sub("\n", _SECTION.sub("\n\n", _DROP.sub(lambda m: " " if not m[1] else "\n", page))))
-    return [x.strip() for x in _SPACE.sub(" ", html.unescape(text).replace("\xa0", " ").replace("\r\n", "\n").replace("\r", "\n")).split("\n")]
+def lines_of(page: str, gap: int = 3) -> list[str]:
+    """The page's lines of text: markup is gone, entities are resolved.
+
+    A run of adjacent block tags, with nothing but white space between, ends one line, however many they are; so tables,
+    lists and nested divs leave no empty lines. If a section begins or ends in it, `gap` empty lines follow. Sections
+    are nav, main, article, aside, form and body, and outside articles also header, footer and section.
+    """
+    text = _NBSP.sub(" ", _INLINE.sub("", _DROP.sub(lambda m: " " if not m[1] else "\n", page)).replace("\r\n", "\n").replace("\r", "\n"))
+    parts, at, within = [], 0, 0
+    for m in _RUN.finditer(text):
+        apart = False
+        for end, name in _SECTION.findall(m[0]):
+            name = name.lower()
+            apart |= not within or name not in ("header", "footer", "section")
+            if name in ("article", "main"):
+                within = max(0, within - 1) if end else within + 1
+        parts += [text[at : m.start()].rstrip(), "\n" * (gap + 1 if apart else 1)]
+        at = m.end()
+    return [x.strip() for x in _SPACE.sub(" ", html.unescape("".join(parts) + text[at:]).replace("\xa0", " ")).split("\n")]
 
 
 def main_text(page: str, width: int = 3, surge: int = 86) -> tuple[str, int, int]:
@@ -34,7 +52,7 @@ def main_text(page: str, width: int = 3, surge: int = 86) -> tuple[str, int, int
     first line of text; it dives at the next block that is empty. All lines between are kept. A page whose text never
     surges keeps its one densest run of lines between empty blocks, so that short pages aren't lost.
     """
-    lines = lines_of(page)
+    lines = lines_of(page, width)
     lengths = np.array([len(x) - x.count(" ") for x in lines], np.int64)
     padded = np.concatenate([lengths, np.zeros(width, np.int64)])
     sums = np.concatenate([[0], np.cumsum(padded)])

@@ -335,6 +335,19 @@ def test_main_text_hard_rows(spark):
     assert html.extract(spark.createDataFrame([], "html string")).count() == 0
 
 
+@pytest.mark.parametrize("between", ["", "\n\n  \n\n\t"])
+def test_main_text_within_articles(between):
+    """Tables, lists, nested divs and sections in the middle of an article don't end it; what is outside still goes."""
+    long = "<p>" + "word of prose " * 20 + "</p>"
+    table_ = "<table><tbody>" + "".join(f"<tr><td>key{i}</td><td><b>val{i}</b></td></tr>" for i in range(20)) + "</tbody></table>"
+    lists = "<ul><li>one</li></ul><ul><li><p>two</p></li></ul><p>&nbsp;</p><p>&nbsp;</p><p>&nbsp;</p><p>&nbsp;</p>"
+    nested = "<div><div><p>short a</p></div></div><div><div><p>short b</p></div></div><section><header><h2>part</h2></header><p>short c</p></section>"
+    page = f"<html><body><nav><ul><li><a>home</a></li></ul></nav><article><h1>Title</h1>{long}{table_}{lists}{nested}</article><footer>imprint</footer></body></html>"
+    text, passages, kept = html.main_text(page.replace("><", f">{between}<"))
+    want = ["Title", ("word of prose " * 20).strip(), *[x for i in range(20) for x in (f"key{i}", f"val{i}")], "one", "two", "short a", "short b", "part", "short c"]
+    assert (text.split("\n"), passages, kept) == (want, 1, len(want))
+
+
 # --- 7 ---
 
 
