@@ -44,13 +44,21 @@ def lines_of(page: str, gap: int = 3) -> list[str]:
     return [x.strip() for x in _SPACE.sub(" ", html.unescape("".join(parts) + text[at:]).replace("\xa0", " ")).split("\n")]
 
 
-def main_text(page: str, width: int = 3, surge: int = 86) -> tuple[str, int, int]:
+#: Of `whole`: the least share of the largest run's text that a run without a surge has, and of the page's mean line that its own has.
+SHARE, LINE_SHARE = 1/4, 1 / 2
+
+
+def main_text(page: str, width: int = 3, surge: int = 86, whole: bool = False) -> tuple[str, int, int]:
     """(text, passages, kept lines) of a page.
 
     Block i is the text length (white space not counted) of lines i .. i + width - 1. A passage surges at the first block
     of more than `surge` characters outside a passage, if the next block isn't empty either, and begins at that block's
     first line of text; it dives at the next block that is empty. All lines between are kept. A page whose text never
     surges keeps its one densest run of lines between empty blocks, so that short pages aren't lost.
+
+    With `whole`, what is short isn't lost either: passages are whole runs of lines between empty blocks. A run is one if
+    it surges, if it is the page's largest, or if, measured by the page itself, it is no small part: at least SHARE of
+    the largest run's text, in lines of at least LINE_SHARE of the page's mean length (links of a menu are shorter).
     """
     lines = lines_of(page, width)
     lengths = np.array([len(x) - x.count(" ") for x in lines], np.int64)
@@ -60,8 +68,19 @@ def main_text(page: str, width: int = 3, surge: int = 86) -> tuple[str, int, int
     blocks = blocks[: len(lines) + 1]
     blocks[-1] = 0
     high, empty = np.flatnonzero(blocks > surge), np.flatnonzero(blocks == 0)
+    gaps = np.concatenate([[-1], empty])
+    runs = [(int(a) + 1, int(b)) for a, b in zip(gaps[:-1], gaps[1:]) if b > a + 1]
     spans, at = [], 0
-    while True:
+    if whole and runs:
+        begin, end = np.array(runs).T
+        count = np.concatenate([[0], np.cumsum(lengths > 0)])
+        size, n = sums[end] - sums[begin], count[end] - count[begin]
+        good = high[(blocks[high + 1] > 0) | (lengths[high] > surge)]
+        keep = (size >= SHARE * size.max()) & (size / n >= LINE_SHARE * lengths.sum() / count[-1])
+        keep |= np.searchsorted(good, end) > np.searchsorted(good, begin)
+        keep[np.argmax(size)] = True
+        spans = [r for r, k in zip(runs, keep) if k]
+    while not whole:
         i = np.searchsorted(high, at)
         while i < len(high) and blocks[high[i] + 1] == 0 and lengths[high[i]] <= surge:
             i += 1
@@ -72,14 +91,12 @@ def main_text(page: str, width: int = 3, surge: int = 86) -> tuple[str, int, int
         spans.append((start, end))
         at = end
     if not spans and lengths.any():
-        gaps = np.concatenate([[-1], empty])
-        runs = [(int(a) + 1, int(b)) for a, b in zip(gaps[:-1], gaps[1:]) if b > a + 1]
         spans = [max(runs, key=lambda r: (int(sums[r[1]] - sums[r[0]]), -r[0]))]
     kept = [x for a, b in spans for x in lines[a:b] if x]
     return "\n".join(kept), len(spans), len(kept)
 
 
-def extract(pages: DataFrame, width: int = 3, surge: int = 86, column: str = "html") -> DataFrame:
+def extract(pages: DataFrame, width: int = 3, surge: int = 86, column: str = "html", whole: bool = False) -> DataFrame:
     """Adds `text`, `passages` and `kept_lines` to every page (main_text).
 
     Null pages have a null text and no passage; empty pages, and pages of markup alone, have an empty text. Unclosed
@@ -89,7 +106,7 @@ def extract(pages: DataFrame, width: int = 3, surge: int = 86, column: str = "ht
 
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for pages_ in columns:
-            got = [(None, 0, 0) if p is None else main_text(p, width, surge) for p in pages_]
+            got = [(None, 0, 0) if p is None else main_text(p, width, surge, whole) for p in pages_]
             yield pd.DataFrame(got, columns=["text", "passages", "kept_lines"])
 
     got = fresh(pages, "__got")

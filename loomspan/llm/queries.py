@@ -44,7 +44,7 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(table(spark, sf_dir, "pages")).drop("html")
+    return html.extract(table(spark, sf_dir, "pages"), whole=True).drop("html")
 
 
 def op7_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

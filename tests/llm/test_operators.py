@@ -348,6 +348,22 @@ def test_main_text_within_articles(between):
     assert (text.split("\n"), passages, kept) == (want, 1, len(want))
 
 
+def test_main_text_of_short_articles(spark):
+    """A surging footer doesn't suppress a short article, and short lines before a surge are kept."""
+    nav = "<html><body><nav><ul><li><a>home</a></li><li><a>news</a></li><li><a>about</a></li></ul></nav>"
+    foot = f"<footer>{'imprint and notices ' * 6}</footer></body></html>"
+    short = html.main_text(f"{nav}<article><h1>A short title</h1><p>A short article of one line.</p></article>{foot}", whole=True)[0].split("\n")
+    assert short[:2] == ["A short title", "A short article of one line."] and "home" not in short
+    lines = [f"short line {i}" for i in range(8)] + ["word of prose " * 20]
+    page = f"{nav}<article>{''.join(f'<p>{x}</p>' for x in lines)}</article><div>an ad</div><footer>imprint</footer></body></html>"
+    assert html.main_text(page, whole=True) == ("\n".join(x.strip() for x in lines), 1, 9) and html.main_text("<p></p>", whole=True) == ("", 0, 0)
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    got = {r.page_id: r.text.split("\n") for r in queries.op6_main_text(spark, "/root/testdata/sf0.01").collect()}
+    for r in pages.collect():
+        want = html.lines_of(r.html[r.html.index("<article>") : r.html.index("</article>")])
+        assert set(filter(None, want)) <= set(got[r.page_id]), r.page_id
+
+
 # --- 7 ---
 
 
