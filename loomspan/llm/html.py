@@ -13,9 +13,15 @@ from pyspark.sql import functions as F
 
 from .common import fresh, small_batches
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>", re.S | re.I)
+_DROP = re.compile(r"<!--|<(script|style|noscript|template|svg|title|iframe|textarea)\b[^>]*>|<!\[CDATA\[|\]\]>|<[!?][^>]*>", re.I)
+#: What else than their own end tags ends elements that were left open: for a title what follows it in a head, for an svg the tags that HTML doesn't allow there.
+_ENDS = {"title": r"|(?=</?(?:head|body|meta|link|base|script|style)\b)", "svg": r"|(?=</?(?:p|div|h[1-6]|ul|ol|li|dl|table|blockquote|pre|body|article|section|main|footer|nav)\b)|<foreignObject\b"}
+_CLOSE = {n: re.compile(rf"</{n}\s*>{_ENDS.get(n, '')}", re.I) for n in ("script", "style", "noscript", "template", "svg", "title", "iframe", "textarea")}
+_SVG_END = re.compile(r"</svg\s*>", re.I)
+#: Elements of raw text: left open, they run to the end of the page.
+_RAW = ("script", "style", "textarea")
 _SECTIONS = "nav|header|footer|main|article|section|aside|form|body"
-_BLOCKS = "p|div|li|ul|ol|dl|dt|dd|table|tr|td|th|h[1-6]|option|select|blockquote|pre|figure|figcaption|html|title|br|hr"
+_BLOCKS = "p|div|li|ul|ol|dl|dt|dd|table|tr|td|th|h[1-6]|option|select|blockquote|pre|figure|figcaption|html|head|title|br|hr"
 _SECTION = re.compile(rf"<(/?)({_SECTIONS})\b[^>]*>", re.I)
 _RUN = re.compile(rf"(?:</?(?:{_SECTIONS}|{_BLOCKS})\b[^>]*>\s*+)++", re.I)
 _INLINE = re.compile(rf"</?(?!(?:{_SECTIONS}|{_BLOCKS})\b)[a-zA-Z][^>]*>", re.I)
@@ -23,6 +29,38 @@ _NBSP = re.compile("&nbsp;|&#160;|&#xa0;", re.I)
 _SPACE = re.compile(r"[^\S\n]+")
 
 
+def visible(page: str) -> str:
+    """The page without comments, declarations and elements that aren't text of it.
+
+    Comments, scripts, styles and text areas that are left open run to the end. A title left open ends at the head's next
+    tag, an svg at the first tag of a text, and of other elements the tag alone goes. An svg may close itself. Heads need
+    no end: what isn't text of the page there goes by itself.
+    """
+    out, at, missing = [], 0, set()
+    while m := _DROP.search(page, at):
+        name = (m[1] or "").lower()
+        out += [page[at : m.start()], "\n" if name else " "]
+        at = m.end()
+        if m[0] == "<!--":
+            end = page.find("-->", at)
+            at = end + 3 if end >= 0 else len(page)
+        if not name or name == "svg" and m[0].endswith("/>"):
+            continue
+        close = None if name in missing else _CLOSE[name].search(page, at)
+        if close and close[0].lower() == "<foreignobject":  # texts may stand in it
+            close = _SVG_END.search(page, close.end())
+        if close:
+            at = close.end()
+        elif name in _RAW:
+            at = len(page)
+        else:
+            missing.add(name)
+            if name == "title":
+                end = page.find("<", at)
+                at = end if end >= 0 else len(page)
+    return "".join(out) + page[at:]
+
+
 def lines_of(page: str, gap: int = 3) -> list[str]:
     """The page's lines of text: markup is gone, entities are resolved.
 
@@ -30,7 +68,7 @@ def lines_of(page: str, gap: int = 3) -> list[str]:
     lists and nested divs leave no empty lines. If a section begins or ends in it, `gap` empty lines follow. Sections
     are nav, main, article, aside, form and body, and outside articles also header, footer and section.
     """
-    text = _NBSP.sub(" ", _INLINE.sub("", _DROP.sub(lambda m: " " if not m[1] else "\n", page)).replace("\r\n", "\n").replace("\r", "\n"))
+    text = _NBSP.sub(" ", _INLINE.sub("", visible(page)).replace("\r\n", "\n").replace("\r", "\n"))
     parts, at, within = [], 0, 0
     for m in _RUN.finditer(text):
         apart = False
@@ -45,7 +83,7 @@ def lines_of(page: str, gap: int = 3) -> list[str]:
 
 
 #: Of `whole`: the least share of the largest run's text that a run without a surge has, and of the page's mean line that its own has.
-SHARE, LINE_SHARE = 1/4, 1 / 2
+SHARE, LINE_SHARE = 1 / 4, 1 / 2
 
 
 def main_text(page: str, width: int = 3, surge: int = 86, whole: bool = False) -> tuple[str, int, int]:
@@ -100,7 +138,7 @@ def extract(pages: DataFrame, width: int = 3, surge: int = 86, column: str = "ht
     """Adds `text`, `passages` and `kept_lines` to every page (main_text).
 
     Null pages have a null text and no passage; empty pages, and pages of markup alone, have an empty text. Unclosed
-    comments, scripts and tags run to the end of the page. Whole pages are read, however long. Names that pages already
+    comments, scripts, styles and text areas run to the end of the page. Whole pages are read, however long. Names that pages already
     has get a leading underscore. Map-only.
     """
 

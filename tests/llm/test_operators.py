@@ -364,6 +364,19 @@ def test_main_text_of_short_articles(spark):
         assert set(filter(None, want)) <= set(got[r.page_id]), r.page_id
 
 
+def test_main_text_of_open_elements():
+    """Heads without end, and svg that closes itself or never, take no text with them; raw text still runs to the end."""
+    for head in ("<head><title>t</title>", "<head><title>t", "<head><meta charset='utf-8'><title>t</title><style>p{}</style><script>var a = '<body><p>no</p>';</script>", "<title>a <b> c</title>", "<head><title>t</title></head>"):
+        assert [x for x in html.lines_of(f"<html>\n{head}<body><p>first</p><p>second</p>") if x] == ["first", "second"], head
+    assert [x for x in html.lines_of("<head><title>t</title><p>first</p>") if x] == ["first"]
+    icons = "<svg/>", "<svg width='1' />", "<svg><text>no</text></svg>", "<svg><path d='M0'/>", "<svg><foreignObject><p>no</p></foreignObject></svg>", "<iframe src='x'>", "<noscript>", "<template>"
+    for icon in icons:
+        assert [x for x in html.lines_of(f"<p>first</p>{icon}<p>second</p><svg><text>no</text></svg><p>third</p>") if x] == ["first", "second", "third"], icon
+    for raw in ("<script>", "<style>", "<textarea>", "<!--"):
+        assert [x for x in html.lines_of(f"<p>first</p>{raw}<p>second</p>") if x] == ["first"]
+    assert html.main_text("<svg>" * 50000 + "<title>" * 50000 + "<p>end</p>")[0] == "end"
+
+
 # --- 7 ---
 
 
