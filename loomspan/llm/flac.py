@@ -24,6 +24,10 @@ class Damaged(ValueError):
     """The stream isn't FLAC, or a checksum is wrong."""
 
 
+class Early(Damaged):
+    """More bits are asked for than there are."""
+
+
 class Crc:
     """A cyclic redundancy check as an exclusive or of what each byte gives at its distance from the end."""
 
@@ -63,7 +67,7 @@ class _Bits:
     def uint(self, n: int) -> int:
         self.at += n
         if self.at > len(self.bits):
-            raise Damaged("the frame ends early")
+            raise Early("the frame ends early")
         return int("".join("1" if b else "0" for b in self.bits[self.at - n : self.at].tolist()) or "0", 2)
 
     def sint(self, n: int) -> int:
@@ -72,7 +76,7 @@ class _Bits:
 
     def sints(self, count: int, n: int) -> np.ndarray:
         if self.at + count * n > len(self.bits):
-            raise Damaged("the frame ends early")
+            raise Early("the frame ends early")
         got = self.bits[self.at : self.at + count * n].reshape(count, n).astype(np.int64) @ (1 << np.arange(n - 1, -1, -1, dtype=np.int64)) if n else np.zeros(count, np.int64)
         self.at += count * n
         return np.where(got >> (n - 1), got - (1 << n), got) if n else got
@@ -81,7 +85,7 @@ class _Bits:
         one = self.list[self.at]
         got, self.at = one - self.at, one + 1
         if self.at > len(self.bits):
-            raise Damaged("the frame ends early")
+            raise Early("the frame ends early")
         return got
 
     def rice(self, count: int, k: int) -> np.ndarray:
@@ -91,7 +95,7 @@ class _Bits:
             stops.append(p)
             p += 1 + k
             if p > n:
-                raise Damaged("the frame ends early")
+                raise Early("the frame ends early")
         stop = np.array(stops, np.int64)
         begin = np.concatenate([[self.at], stop[:-1] + 1 + k])
         u = (stop - begin) << k
@@ -182,9 +186,17 @@ def _frame(data: np.ndarray, at: int, info: dict) -> tuple[np.ndarray, int, int]
         raise Damaged("the header's checksum is wrong")
     bits = _BITS.get(bits_code, info["bits"])
     channels = channel_code + 1 if channel_code < 8 else 2
-    r = _Bits(data[at : min(len(data), at + p + 1 + 8 + channels * (block * (bits + 3) // 8 + 64) + 1024)], 8 * (p + 1))
+    span = p + 1 + 8 + channels * (block * (bits + 3) // 8 + 64) + 1024  # of a frame that isn't badly coded
     side = {8: 1, 9: 0, 10: 1}.get(channel_code, -1)
-    x = [_subframe(r, block, bits + (c == side)) for c in range(channels)]
+    while True:
+        r = _Bits(data[at : at + span], 8 * (p + 1))
+        try:
+            x = [_subframe(r, block, bits + (c == side)) for c in range(channels)]
+            break
+        except Early:
+            if at + span >= len(data):
+                raise
+            span *= 4
     if channel_code == 8:
         x[1] = x[0] - x[1]
     elif channel_code == 9:
@@ -224,24 +236,43 @@ def pcm_bytes(x: np.ndarray, bits: int) -> bytes:
     return x.astype("<i8").reshape(-1, 1).view(np.uint8)[:, :n].tobytes()
 
 
-def decode(raw: bytes) -> list[dict]:
-    """The PCM blocks of a stream, one for each frame; what is damaged ends the list with a row that says so."""
+def decode(raw: bytes, resume: bool = False) -> list[dict]:
+    """The PCM blocks of a stream, one for each frame; what is damaged ends the list with a row that says so.
+
+    resume: damage ends nothing. A row with the error stands where each gap begins, and after it come the next frames
+    whose checksums hold, at their own offsets.
+    """
     rows, offset, info = [], 0, {"rate": 0, "bits": 0, "channels": 0}
     row = lambda **x: {"block": len(rows), "sample_offset": offset, "n_samples": 0, "channels": info["channels"], "sample_rate": info["rate"], "bits": info["bits"], "pcm": None, "error": None} | x
     try:
         data = np.frombuffer(raw, np.uint8)
         info, at = stream_info(data)
-        total = hashlib.md5()
+        total, syncs = hashlib.md5(), None
         while at < len(data):
-            x, offset, at = _frame(data, at, info)
-            if rows and rows[-1]["sample_offset"] + rows[-1]["n_samples"] != offset:
-                raise Damaged("a frame is missing")
+            try:
+                x, begin, at = _frame(data, at, info)
+            except Damaged as e:
+                if not resume:
+                    raise
+                if not rows or not rows[-1]["error"]:
+                    rows.append(row(error=str(e)))
+                if syncs is None:
+                    syncs = np.flatnonzero((data[:-1] == 0xFF) & (data[1:] & 0xFE == 0xF8))
+                at = int(next(iter(syncs[np.searchsorted(syncs, at, "right") :][:1]), len(data)))
+                continue
+            if rows and begin != offset and not (resume and rows[-1]["error"]):
+                if not resume:
+                    offset = begin
+                    raise Damaged("a frame is missing")
+                rows.append(row(error="a frame is missing"))
+            offset = begin
             rows.append(row(n_samples=len(x), channels=x.shape[1], pcm=(p := pcm_bytes(x, info["bits"]))))
             total.update(p)
             offset += len(x)
-        if info["samples"] and info["samples"] != offset:
+        hurt = any(r["error"] for r in rows)
+        if info["samples"] and info["samples"] != offset and not (hurt and rows[-1]["error"]):
             raise Damaged("samples are missing")
-        if any(info["md5"]) and info["md5"] != total.digest():
+        if any(info["md5"]) and not hurt and info["md5"] != total.digest():
             raise Damaged("the checksum of all samples is wrong")
     except Damaged as e:
         rows.append(row(error=str(e)))
@@ -253,7 +284,7 @@ def decode_column(media: DataFrame, column: str = "flac", keep: list[str] | None
     n_samples, channels, sample_rate, bits, pcm (interleaved little-endian samples) and error.
 
     Blocks can be sought by sample_offset. All frames' checksums and the stream's MD5 are verified; what is damaged gives
-    one row with `error` and no pcm, after the blocks before it. A null stream gives one row of nulls; an empty one an
+    one row with `error` and no pcm, between the blocks before and after it. A null stream gives one row of nulls; an empty one an
     error; a stream without frames no row. Names that media already has get a leading underscore. Map-only: each
     stream is decoded alone, and its blocks leave the worker in batches of about 4 MB.
     """
@@ -273,7 +304,7 @@ def decode_column(media: DataFrame, column: str = "flac", keep: list[str] | None
         for batch in batches:
             rows, at, size = [], [], 0
             for i, value in enumerate(batch.column(raw)):
-                new = decode(value.as_py()) if value.is_valid else [dict.fromkeys(PCM.names)]
+                new = decode(value.as_py(), resume=True) if value.is_valid else [dict.fromkeys(PCM.names)]
                 rows += new
                 at += [i] * len(new)
                 size += sum(len(r["pcm"] or b"") for r in new)

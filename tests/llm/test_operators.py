@@ -175,6 +175,37 @@ def test_flac_damage():
     assert flac.CRC16(np.frombuffer(b"123456789", np.uint8)) == 0xFEE8 and flac.CRC8(np.frombuffer(b"123456789", np.uint8)) == 0xF4
 
 
+def test_flac_goes_on_after_damage(spark):
+    x = np.round(900 * np.sin(np.arange(3000) / 9)).astype(int).reshape(-1, 1)
+    raw = flac.encode(x, block=512)
+    good, at = flac.decode(raw), [42]
+    data = np.frombuffer(raw, np.uint8)
+    info, _ = flac.stream_info(data)
+    while at[-1] < len(raw):
+        at.append(flac._frame(data, at[-1], info)[2])
+    place = [(r["sample_offset"], r["n_samples"], r["pcm"]) for r in good]
+    hurt = lambda i: raw[: at[i] + 9] + bytes([raw[at[i] + 9] ^ 4]) + raw[at[i] + 10 :]
+    for i in range(len(good)):
+        for bad in (hurt(i), raw[: at[i]] + raw[at[i + 1] :]):  # a bit is wrong; the frame is missing
+            rows = flac.decode(bad, resume=True)
+            got = [(r["sample_offset"], r["n_samples"], r["pcm"]) for r in rows if not r["error"]]
+            assert got == place[:i] + place[i + 1 :] and [r["block"] for r in rows] == list(range(len(rows)))
+            assert sum(bool(r["error"]) for r in rows) == 1
+    assert [bool(r.error) for r in flac.decode_column(spark.createDataFrame([(1, bytearray(hurt(2)))], "k int, flac binary")).collect()] == [False, False, True, False, False, False]
+
+
+def test_flac_frame_of_any_size():
+    """A legal frame of 60,000 bits a sample: a Rice parameter of 0 for large residuals."""
+    head = flac.encode(np.zeros((0, 1), int))[:26] + bytes(16)
+    frame = bytes([0xFF, 0xF8, 0x60, 0, 0, 15])
+    bits = "00010000" + "0000000000" + ("0" * 60000 + "1") * 16
+    bits += "0" * (-len(bits) % 8)
+    frame += bytes([int(flac.CRC8(np.frombuffer(frame, np.uint8)))]) + int(bits, 2).to_bytes(len(bits) // 8, "big")
+    frame += int(flac.CRC16(np.frombuffer(frame, np.uint8))).to_bytes(2, "big")
+    rows = flac.decode(head + frame)
+    assert [r["error"] for r in rows] == [None] and rows[0]["pcm"] == flac.pcm_bytes(np.full((16, 1), 30000), 16)
+
+
 def test_flac_column(spark):
     v = spark.createDataFrame([(1, [0.1, 0.5, -1.0, 0.2]), (2, None), (None, []), (3, [float("nan"), None, 1.0]), (3, [0.0] * 300)], "vec_id long, embedding array<float>")
     media = flac.vectors_as_media(v).withColumn("block", F.lit("mine"))
