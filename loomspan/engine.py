@@ -78,7 +78,7 @@ class Engine:
 
     def _keyword(self, question: str, tokens: int, where: Column) -> DataFrame:
         score = retrieval.keyword_score(question, F.col("content"), F.col("symbols"))
-        rows = self.chunks.filter(where).withColumn("score", score).filter("score > 0").orderBy(F.desc("score"), "id").limit(100)
+        rows = self.chunks.filter(where).withColumn("score", score).filter("score > 0").filter("token_count > 0").orderBy(F.desc("score"), "id").limit(max(tokens, 0))  # each costs one token at least: no more fit
         return budget.prefix_budget(rows, tokens, [F.desc("score"), "id"])
 
     def context(self, question: str, **how) -> str:

@@ -36,6 +36,15 @@ def test_dependencies_and_graph(engine):
     assert [r.path for r in engine.dependencies("src/user.ts").orderBy("path").collect()] == ["src/api.ts", "src/base.ts"]
 
 
+def test_keyword_retrieval_is_bounded_by_tokens_alone(spark):
+    files = {f"src/f{i:03}.ts": f"export function needle{i}() {{ return {i}; }}\n" for i in range(150)}
+    small = Engine(spark, adapters.MemorySource(spark, files)).index()
+    rows = small.retrieve("needle function", mode="keyword", max_tokens=8000).collect()
+    assert len({r.file_path for r in rows}) == 150 and sum(r.token_count for r in rows) <= 8000
+    few = small.retrieve("needle function", mode="keyword", max_tokens=100).collect()
+    assert 0 < sum(r.token_count for r in few) <= 100
+
+
 def test_retrieve_and_ask(engine):
     engine.embed()
     for mode in ("hybrid", "bm25", "keyword"):
