@@ -9,10 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKENIZER_DIR, chunks, encoder, small_batches, text_bytes
+from ..operators.layout import spread
+from .common import TOKENIZER_DIR, chunks, encoder, text_bytes
 
 #: How a turn is written; what stands after the header, to the end of END, is the turn's own.
 HEADER, END = "<|{role}|>\n", "<|end|>\n"
+#: What a text can't hold as it is, or it could forge a turn, and what is written instead.
+MARK, MARK_IN_TEXT = "<|", "< |"
+
 
 def mask_of(offsets: np.ndarray, begins: np.ndarray, ends: np.ndarray, trained: np.ndarray) -> np.ndarray:
     """1 for tokens (begin, end) that lie wholly within a trained turn's part, by binary search of each token's begin among the turns."""
@@ -34,6 +38,9 @@ def format_chats(
     wholly within the text or END of a turn whose role is in train_roles: a token that crosses into a header isn't trained.
     token_ids and loss_mask have the same length.
 
+    A text that holds MARK could forge a turn: it is written with MARK_IN_TEXT instead. In roles, all but letters, digits,
+    '.', '-' and '_' is written as '_'; whether a role is trained is asked of it as it is.
+
     Null texts are empty turns; a null role is written as 'unknown' and not trained; rows with a null conversation belong
     to none and are left out. Repeated rows are turns each. Whole texts are encoded, however long. Extra columns are
     ignored. No rows: no conversations.
@@ -43,8 +50,9 @@ def format_chats(
     finds the turns of all their tokens.
     """
     one = F.struct(F.col(turn).alias("n"), F.coalesce(F.col(role).cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    chats = small_batches(turns).filter(F.col(conversation).isNotNull()).groupBy(F.col(conversation).alias("conv_id")).agg(F.sort_array(F.collect_list(one)).alias("t"))
-    head, body = F.transform("t", lambda x: F.format_string(HEADER.format(role="%s"), x["role"])), F.transform("t", lambda x: F.concat(x["text"], F.lit(END)))
+    chats = spread(turns).filter(F.col(conversation).isNotNull()).groupBy(F.col(conversation).alias("conv_id")).agg(F.sort_array(F.collect_list(one)).alias("t"))
+    head = F.transform("t", lambda x: F.format_string(HEADER.format(role="%s"), F.regexp_replace(x["role"], r"[^\p{L}\p{N}._-]", "_")))
+    body = F.transform("t", lambda x: F.concat(F.replace(x["text"], F.lit(MARK), F.lit(MARK_IN_TEXT)), F.lit(END)))
     rendered = F.array_join(F.zip_with(head, body, lambda h, b: F.concat(h, b)), "")
     trained = F.transform("t", lambda x: x["role"].isin(*train_roles) if train_roles else F.lit(False))
     sizes = lambda parts: F.transform(parts, lambda x: F.octet_length(x))

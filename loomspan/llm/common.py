@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.layout import spread
 
 TOKENIZER_DIR = "/opt/tokenizers"
 #: Bytes of text that a Python worker handles at once; it bounds memory, not the work.
@@ -45,31 +47,34 @@ def _forget() -> None:
 atexit.register(_forget)
 
 
+#: Rows and bytes of an Arrow batch of texts while a table is written; they bound what a Python worker and its task hold, not the work.
+BATCH_ROWS, BATCH_BYTES = 1000, 4_000_000
+
+
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, Arrow batches are small enough for long texts. What the session has set stays, and all is as before afterwards."""
+    ours = {f"spark.sql.execution.arrow.{n}": str(most) for n, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES))}
+    ours = {k: v for k, v in ours.items() if spark.conf.get(k, None) is None}
+    for k, v in ours.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k in ours:
+            spark.conf.unset(k)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomspan/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with bounded_batches(spark):
+        df.write.parquet(path)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows and bytes of an Arrow batch of texts; they bound what a Python worker and its task hold, not the work.
-BATCH_ROWS, BATCH_BYTES = 1000, 4_000_000
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches are small enough for long texts. What the session has set itself stays.
-
-    If df comes in fewer partitions than there are cores, as a table of one small file does, its rows are dealt out over all.
-    """
-    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        key = f"spark.sql.execution.arrow.{name}"
-        if df.sparkSession.conf.get(key, None) is None:
-            df.sparkSession.conf.set(key, str(most))
-    return spread(df)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -87,8 +92,8 @@ class Bloom:
         self.bits = min(BLOOM_BITS, 1 << max(10, int(16 * keys.count()).bit_length()))
         ones = keys.select(F.explode(F.array(*self._places(F.col(name)))).alias("p"))
         words = np.zeros(self.bits // 64, np.int64)
-        for r in ones.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(self._bit(F.col("p"))).alias("b")).collect():
-            words[r.w] = r.b
+        got = ones.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(self._bit(F.col("p"))).alias("b")).toArrow()  # two columns of numbers, BLOOM_BITS / 64 rows at most
+        words[got["w"].to_numpy()] = got["b"].to_numpy()
         self.row = spark.createDataFrame(pa.table({"__bloom": pa.array([words], pa.list_(pa.int64()))}))  # one row of at most BLOOM_BITS
 
     def _places(self, key: Column) -> list[Column]:
@@ -162,25 +167,6 @@ WORD = np.zeros(256, bool)
 WORD[list(range(48, 58)) + list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = True
 
 
-class PrefixHash:
-    """64-bit hashes of any spans of a byte array, by prefix sums of a polynomial in an odd base."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.powers = self.inverses = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        n = 1 << max(16, int(n).bit_length())
-        self.powers, self.inverses = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)])) for x in (self.base, self.inverse))
-
-    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if len(self.powers) <= len(data):
-            self._grow(len(data))
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[: len(data)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -189,6 +175,65 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 HASH_A, HASH_B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Spans of more bytes are hashed and compared one by one.
+LONG_SPAN = 64
+_BELOW = np.array([(1 << 8 * i) - 1 for i in range(8)] + [2**64 - 1], np.uint64)
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, as a little-endian number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(data) + 1,), (1,))
+
+
+class SpanHash:
+    """Keyed 64-bit hashes of spans of a byte array: a chain over 8 bytes at a time in two mixed halves; blake2b of long spans.
+
+    Unlike a polynomial it has no pairs of texts that collide whatever the key. Where a collision would give a wrong
+    result, spans of one hash are compared by `equal_spans`.
+    """
+
+    def __init__(self, key: int = 0):
+        self.key = hashlib.blake2b(f"spans {key}".encode(), digest_size=32).digest()
+        self.a, self.b, self.c, self.d = (np.uint64(x | 1) for x in np.frombuffer(self.key, "<u8").tolist())
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        n = ends - starts
+        x = mix(n.astype(np.uint64) * self.a + self.b)
+        y = x ^ self.c
+        eights, at = _eights(data), np.flatnonzero((n > 0) & (n <= LONG_SPAN))
+        whole = len(at) == len(n)
+        i = 0
+        while len(at):
+            left = n[at] - 8 * i
+            w = eights[starts[at] + 8 * i] & _BELOW[np.minimum(left, 8)]
+            if whole and not i:
+                x, y = mix((x ^ w) * self.c + y), y * self.d + w
+            else:
+                x[at], y[at] = mix((x[at] ^ w) * self.c + y[at]), y[at] * self.d + w
+            at, i = at[left > 8], i + 1
+        for j in np.flatnonzero(n > LONG_SPAN):
+            x[j] = int.from_bytes(hashlib.blake2b(data[starts[j] : ends[j]], digest_size=8, key=self.key).digest(), "little")
+        return mix(x + y * self.a)
+
+
+def equal_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Which spans have the bytes of the other span beside them."""
+    n = ends - starts
+    same = n == other_ends - other_starts
+    a, b = _eights(data), _eights(other)
+    at, i = np.flatnonzero(same & (n > 0) & (n <= LONG_SPAN)), 0
+    if data is other:
+        at = at[starts[at] != other_starts[at]]
+    while len(at):
+        left = n[at] - 8 * i
+        differ = ((a[starts[at] + 8 * i] ^ b[other_starts[at] + 8 * i]) & _BELOW[np.minimum(left, 8)]) != 0
+        same[at[differ]] = False
+        at, i = at[(left > 8) & ~differ], i + 1
+    for j in np.flatnonzero(same & (n > LONG_SPAN)):
+        same[j] = (data is other and starts[j] == other_starts[j]) or np.array_equal(data[starts[j] : ends[j]], other[other_starts[j] : other_ends[j]])
+    return same
 
 
 def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,8 +262,9 @@ class TokenEncoder:
 
     The pattern that cuts texts before BPE always cuts between a character that isn't white space and white space. So
     each distinct piece between such cuts is encoded once, and its ids are copied to every place where it stands: the ids
-    are those of encoding each text whole. Pieces are told apart by 128 bits of hash. What was encoded is remembered up
-    to `remember` pieces; this saves time only.
+    are those of encoding each text whole. Equal pieces are found by a hash and compared byte by byte; one that differs
+    from another of its hash is encoded by itself. Up to `remember` pieces of at most LONG_SPAN bytes are remembered from
+    batch to batch; this saves time only.
     """
 
     def __init__(self, path: str = f"{TOKENIZER_DIR}/byte_bpe_multi_50k.tiktoken", remember: int = 500_000):
@@ -234,11 +280,12 @@ class TokenEncoder:
         self.lengths = np.zeros(self.size, np.int64)
         self.lengths[list(ranks.values())] = [len(x) for x in ranks]
         self.dtype = np.uint16 if self.size <= 65536 else np.uint32
-        self.first, self.second, self.remember = PrefixHash(HASH_A), PrefixHash(HASH_B), remember
+        self.hash, self.remember = SpanHash(), remember
         self.known = self._nothing()
 
     def _nothing(self):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+        """Of the pieces remembered, by hash: hash, where each begins and ends in their bytes, how many ids it has, and where; the bytes; the ids."""
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4, np.zeros(0, np.uint8), np.zeros(0, self.dtype)
 
     def pieces(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Where pieces begin, ascending."""
@@ -276,27 +323,33 @@ class TokenEncoder:
         """For each piece its entry in a table of counts and starts in flat ids; and how many pieces each text has."""
         begin = self.pieces(data, starts)
         end = np.concatenate([begin[1:], [len(data)]]).astype(np.int64) if len(begin) else begin
-        a, b = self.first(data, begin, end), self.second(data, begin, end)
-        distinct, index, inverse = np.unique(a, return_index=True, return_inverse=True)
-        if len(a) and (b[index][inverse] != b).any():  # two pieces share 64 bits: tell them apart by the other 64
-            _, index, inverse = np.unique(a + mix(b), return_index=True, return_inverse=True)
-            self.known = self._nothing()
-        distinct, other = a[index], b[index]
-        ka, kb, kn, ks, kids = self.known
-        at = np.minimum(np.searchsorted(ka, distinct), max(len(ka) - 1, 0))
-        hit = (ka[at] == distinct) & (kb[at] == other) if len(ka) else np.zeros(len(distinct), bool)
-        new = index[~hit]
-        ids, counts = self._encode_new(data, begin[new], end[new]) if len(new) else (kids[:0], kn[:0])
-        flat = np.concatenate([kids, ids])
-        n, s = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
-        if hit.any():
-            n[hit], s[hit] = kn[at[hit]], ks[at[hit]]
-        n[~hit], s[~hit] = counts, len(kids) + np.cumsum(counts) - counts
-        if len(ka) + len(new) <= self.remember and len(new):
-            da, order = np.concatenate([ka, distinct[~hit]]), None
-            order = np.argsort(da, kind="stable")
-            self.known = (da[order], np.concatenate([kb, other[~hit]])[order], np.concatenate([kn, counts])[order], np.concatenate([ks, s[~hit]])[order], flat)
-        return n[inverse], s[inverse], flat, np.diff(np.searchsorted(begin, starts))
+        distinct, index, inverse = np.unique(self.hash(data, begin, end), return_index=True, return_inverse=True)
+        odd = np.flatnonzero(~equal_spans(data, begin, end, data, begin[index][inverse], end[index][inverse]))  # another piece has their hash
+        kh, kb, ke, kn, ks, kdata, kids = self.known
+        n, s, new, taken = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64), np.ones(len(distinct), bool), np.zeros(len(distinct), bool)
+        if len(kh):
+            at = np.minimum(np.searchsorted(kh, distinct), len(kh) - 1)
+            taken = kh[at] == distinct
+            hit = np.flatnonzero(taken)
+            hit = hit[equal_spans(data, begin[index[hit]], end[index[hit]], kdata, kb[at[hit]], ke[at[hit]])]
+            n[hit], s[hit], new[hit] = kn[at[hit]], ks[at[hit]], False
+        new = np.flatnonzero(new)
+        keep = ~taken[new] & (end[index[new]] - begin[index[new]] <= LONG_SPAN)
+        keep &= len(kh) + int(keep.sum()) <= self.remember
+        new = np.concatenate([new[keep], new[~keep]])  # what is remembered comes first
+        held, todo = int(keep.sum()), np.concatenate([index[new], odd])
+        ids, counts = self._encode_new(data, begin[todo], end[todo]) if len(todo) else (kids[:0], kn[:0])
+        places, flat = len(kids) + np.cumsum(counts) - counts, np.concatenate([kids, ids])
+        n[new], s[new] = counts[: len(new)], places[: len(new)]
+        if held:
+            b, e = begin[index[new[:held]]], end[index[new[:held]]]
+            stop = len(kdata) + np.cumsum(e - b)
+            parts = (kh, distinct[new[:held]]), (kb, stop - (e - b)), (ke, stop), (kn, counts[:held]), (ks, places[:held])
+            order = np.argsort(np.concatenate(parts[0]), kind="stable")
+            self.known = *[np.concatenate(x)[order] for x in parts], np.concatenate([kdata, ragged(data, b, e - b)]), flat[: len(kids) + int(counts[:held].sum())]
+        n, s = n[inverse], s[inverse]
+        n[odd], s[odd] = counts[len(new) :], places[len(new) :]
+        return n, s, flat, np.diff(np.searchsorted(begin, starts))
 
     def encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and how many each text has."""

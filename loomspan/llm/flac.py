@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, small_batches
+from ..operators.layout import spread
+from .common import fresh
 
 _RATES = {1: 88200, 2: 176400, 3: 192000, 4: 8000, 5: 16000, 6: 22050, 7: 24000, 8: 32000, 9: 44100, 10: 48000, 11: 96000}
 _BITS = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
@@ -289,7 +290,7 @@ def decode_column(media: DataFrame, column: str = "flac", keep: list[str] | None
     stream is decoded alone, and its blocks leave the worker in batches of about 4 MB.
     """
     keep = [c for c in media.columns if c != column] if keep is None else keep
-    got = small_batches(media).select(*[F.col(f"`{c}`") for c in keep], F.col(column).alias(raw := fresh(media, "__raw")))
+    got = spread(media).select(*[F.col(f"`{c}`") for c in keep], F.col(column).alias(raw := fresh(media, "__raw")))
     kept = got.select(*[F.col(f"`{c}`") for c in keep])
     names = {n: fresh(kept, n) for n in PCM.names}
     kinds = {"int32": T.IntegerType(), "int64": T.LongType(), "binary": T.BinaryType(), "string": T.StringType()}

@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, small_batches
+from ..operators.layout import spread
+from .common import fresh
 
 _DROP = re.compile(r"<!--|<(script|style|noscript|template|svg|title|iframe|textarea)\b[^>]*>|<!\[CDATA\[|\]\]>|<[!?][^>]*>", re.I)
 #: What else than their own end tags ends elements that were left open: for a title what follows it in a head, for an svg the tags that HTML doesn't allow there.
@@ -25,17 +26,23 @@ _BLOCKS = "p|div|li|ul|ol|dl|dt|dd|table|tr|td|th|h[1-6]|option|select|blockquot
 _SECTION = re.compile(rf"<(/?)({_SECTIONS})\b[^>]*>", re.I)
 _RUN = re.compile(rf"(?:</?(?:{_SECTIONS}|{_BLOCKS})\b[^>]*>\s*+)++", re.I)
 _INLINE = re.compile(rf"</?(?!(?:{_SECTIONS}|{_BLOCKS})\b)[a-zA-Z][^>]*>", re.I)
+#: A tag, comment or declaration that begins.
+_OPEN = re.compile(r"<[a-zA-Z/!?]")
 _NBSP = re.compile("&nbsp;|&#160;|&#xa0;", re.I)
-_SPACE = re.compile(r"[^\S\n]+")
+#: White space that isn't one blank already.
+_SPACE = re.compile(r"[^\S\n ][^\S\n]*| [^\S\n]+")
 
 
 def visible(page: str) -> str:
     """The page without comments, declarations and elements that aren't text of it.
 
-    Comments, scripts, styles and text areas that are left open run to the end. A title left open ends at the head's next
+    A tag or declaration that never ends runs to the end of the page, as do comments, scripts, styles and text areas that
+    are left open. So after the last '>' no tag is looked for, and the time is linear in the page whatever it holds. A title left open ends at the head's next
     tag, an svg at the first tag of a text, and of other elements the tag alone goes. An svg may close itself. Heads need
     no end: what isn't text of the page there goes by itself.
     """
+    if open_ := _OPEN.search(page, page.rfind(">") + 1):
+        page = page[: open_.start()]
     out, at, missing = [], 0, set()
     while m := _DROP.search(page, at):
         name = (m[1] or "").lower()
@@ -137,9 +144,10 @@ def main_text(page: str, width: int = 3, surge: int = 86, whole: bool = False) -
 def extract(pages: DataFrame, width: int = 3, surge: int = 86, column: str = "html", whole: bool = False) -> DataFrame:
     """Adds `text`, `passages` and `kept_lines` to every page (main_text).
 
-    Null pages have a null text and no passage; empty pages, and pages of markup alone, have an empty text. Unclosed
-    comments, scripts, styles and text areas run to the end of the page. Whole pages are read, however long. Names that pages already
-    has get a leading underscore. Map-only.
+    Null pages have a null text and no passage; empty pages, and pages of markup alone, have an empty text. Unclosed tags,
+    comments, scripts, styles and text areas run to the end of the page. Whole pages are read, however long, in linear
+    time. Of runs of equal size, where one only is kept, it is the first. Repeated rows are extracted each. No rows: no
+    rows. Names that pages already has get a leading underscore. Map-only.
     """
 
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -149,5 +157,5 @@ def extract(pages: DataFrame, width: int = 3, surge: int = 86, column: str = "ht
 
     got = fresh(pages, "__got")
     names = [fresh(pages, n) for n in ("text", "passages", "kept_lines")]
-    done = small_batches(pages).withColumn(got, F.pandas_udf(run, "text string, passages int, kept_lines int").asNondeterministic()(F.col(column)))
+    done = spread(pages).withColumn(got, F.pandas_udf(run, "text string, passages int, kept_lines int").asNondeterministic()(F.col(column)))
     return done.select(*[F.col(f"`{c}`") for c in pages.columns], *[F.col(got)[n].alias(as_) for n, as_ in zip(("text", "passages", "kept_lines"), names)])

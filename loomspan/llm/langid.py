@@ -10,7 +10,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, seeded_unit, small_batches
+from ..operators.layout import spread
+from .common import fresh, seeded_unit
 
 #: Bounds of the sample that dictionaries are made of: rows of each language, and bytes of each dictionary.
 SAMPLE_ROWS, DICTIONARY_BYTES, PIECE_BYTES = 400, 65536, 4096
@@ -40,7 +41,7 @@ def train_dictionaries(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = DIC
     if not most:
         return {}
     each, upto = (F.create_map(*[F.lit(x) for k in most for x in (k, of[k])])[F.col("l")] for of in (most, last))
-    part = F.least(F.col("chars"), F.ceil(each * F.col("chars") / F.col("bytes")).cast("int"))  # in characters
+    part = F.least(F.col("chars"), F.ceil(each.cast("double") * F.col("chars") / F.col("bytes")).cast("int"))  # in characters
     start = (F.floor(F.col("v") * (F.col("chars") - part + 1)) + 1).cast("int")
     sample = drawn.filter(F.col("u") <= upto).select("l", "u", F.substring("t", start, part).alias("t")).collect()
     made = {}
@@ -66,8 +67,9 @@ def identify(docs: DataFrame, dictionaries: Mapping[str, bytes], margin: float =
     The whole lower-cased text is compressed in pieces of `piece` bytes, so that in a long text too the dictionary, not
     the text itself, is what it is compared with; sizes are summed over the pieces. margin = (second - least) / second.
     `detected` is null (rejected) if margin is below the parameter: so for null and empty texts, ties, and anything that
-    no dictionary tells apart, and for everything if there is no dictionary. With one dictionary the second size is that without any. Columns of docs called `detected`
-    or `margin` stay, and the new ones get a leading underscore. Map-only.
+    no dictionary tells apart, and for everything if there is no dictionary. With one dictionary the second size is that
+    without any. Null keys and repeated rows are judged like others, each by itself. No rows: no rows. Columns of docs
+    called `detected` or `margin` stay, and the new ones get a leading underscore. Map-only.
     """
     names = sorted(dictionaries)
     held = docs.sparkSession.sparkContext.broadcast([dictionaries[n] for n in names])
@@ -93,7 +95,7 @@ def identify(docs: DataFrame, dictionaries: Mapping[str, bytes], margin: float =
     found = F.pandas_udf(classify, "detected string, margin double").asNondeterministic()  # a filter on it mustn't run it again
     got, detected, gap = fresh(docs, "__got"), fresh(docs, "detected"), fresh(docs, "margin")
     none = F.struct(F.lit(None).cast("string").alias("detected"), F.lit(0.0).alias("margin"))
-    scored = small_batches(docs).withColumn(got, found(F.lower(F.col(text))) if names else none)
+    scored = spread(docs).withColumn(got, found(F.lower(F.col(text))) if names else none)
     return scored.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(got)["detected"].alias(detected), F.col(got)["margin"].alias(gap))
 
 

@@ -33,7 +33,7 @@ def water_fill(sizes: Mapping[str, float], weights: Mapping[str, float], budget:
 
 
 def mix_sources(
-    docs: DataFrame, weights: Mapping[str, float], max_epochs: float = 4.0, budget: float | None = None, seed: int = 0,
+    docs: DataFrame, weights: Mapping[str | None, float], max_epochs: float = 4.0, budget: float | None = None, seed: int = 0,
     source: str = "source", key: str = "doc_id", size: str = "n_chars", text: str = "text",
 ) -> DataFrame:
     """Repeats or samples the rows of each source so that their sizes come near the target weights; adds `copy`.
@@ -44,15 +44,17 @@ def mix_sources(
     others (water_fill). A source that gets e epochs has each row floor(e) times (copy 0, 1, ...), and once more where a
     seeded hash of `key` is below the fraction of e: the draw is the same however rows are ordered or partitioned.
 
-    A null source is a source of its own, named '' in weights. Size is `size`, or the length of `text` if that is null or
+    A null source is a source of its own, named None in weights, and another than ''. Size is `size`, or the length of `text` if that is null or
     docs has no such column; below 0 counts as 0. A source of total size 0 has nothing to weigh and stays as it is (one
-    copy). Rows with a null key, and repeated keys, are drawn together. No rows: no rows. If docs has a column `copy`, the
+    copy). Rows with a null key, and repeated keys, are drawn together; null, empty and very long texts are like others. No
+    rows: no rows. Other columns stay as they are. If docs has a column `copy`, the
     new one is `_copy`.
 
     How it runs: one aggregation by source over two narrow columns (one row for each source reaches the driver); then one
     pass over the rows without a shuffle.
     """
-    label = F.coalesce(F.col(source).cast("string"), F.lit(""))
+    label = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit(""))
+    weights = {"" if s is None else f"s{s}": w for s, w in weights.items()}
     measure = F.length(text) if size not in docs.columns else F.coalesce(F.col(size), F.length(text))
     sums = docs.groupBy(label.alias("s")).agg(F.sum(F.greatest(F.coalesce(measure, F.lit(0)), F.lit(0))).cast("double").alias("n"))
     sizes = {r.s: r.n for r in sums.collect()}

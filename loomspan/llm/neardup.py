@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HASH_A, HASH_B, Bloom, PrefixHash, chunks, fresh, mix, small_batches, text_bytes, words, written
+from ..operators.layout import spread
+from .common import HASH_B, Bloom, SpanHash, chunks, fresh, mix, ragged, text_bytes, words, written
 
 #: Registers are max(floor(1 - log_b h)) clipped to 0..Q+1, h being exponential with rate A: 16 bits each.
 REGISTERS, BASE, RATE, Q = 160, 1.001, 20.0, 2**16 - 2
@@ -19,9 +21,15 @@ SHINGLE = 3  # words of a shingle
 
 
 def shingles(data: np.ndarray, starts: np.ndarray, width: int = SHINGLE, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all runs of `width` words of each text, and how many each text has (a shorter text has one run, of all its words)."""
-    begin, end, n = words(data, starts)
-    h = PrefixHash(HASH_A)(data, begin, end) + np.uint64(seed)
+    """64-bit hashes of all runs of `width` words of each text, and how many each text has (a shorter text has one run, of all its words).
+
+    They are keyed by `seed`: who writes a text and doesn't know it can't make two runs collide but by chance, 1 in 2^64.
+    """
+    return _runs(data, *words(data, starts), width, seed)
+
+
+def _runs(data: np.ndarray, begin: np.ndarray, end: np.ndarray, n: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    h = SpanHash(seed)(data, begin, end)
     first = np.cumsum(n) - n
     counts = np.where(n >= width, n - width + 1, np.minimum(n, 1))
     at = ragged_index(first, counts)
@@ -33,6 +41,17 @@ def shingles(data: np.ndarray, starts: np.ndarray, width: int = SHINGLE, seed: i
     return out, counts
 
 
+def contents(data: np.ndarray, begin: np.ndarray, end: np.ndarray, n: np.ndarray) -> list[bytes | None]:
+    """128 bits of blake2b of each text's words with a blank between; None for a text without words."""
+    size = end - begin + 1
+    line = ragged(np.append(data, np.uint8(32)), begin, size)
+    stops = np.cumsum(size)
+    line[stops - 1] = 32
+    cuts = np.concatenate([[0], stops])[np.concatenate([[0], np.cumsum(n)])].tolist()
+    held = memoryview(line)
+    return [hashlib.blake2b(held[a:b], digest_size=16).digest() if b > a else None for a, b in zip(cuts[:-1], cuts[1:])]
+
+
 def ragged_index(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(int(counts.sum())) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
 
@@ -93,26 +112,24 @@ def joint_jaccard(u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
-    """(doc_id, content, sketch): content is 128 bits of the sequence of words; both are null for texts without words."""
+    """(doc_id, content, sketch): content is 128 bits of blake2b of the sequence of words; both are null for texts without words."""
     schema = pa.schema({"doc_id": pa.int64(), "content": pa.binary(), "sketch": pa.binary()})
 
     def sketch(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
                 data, starts = text_bytes(part.column("text"))
-                h, n = shingles(data, starts, seed=seed)
+                begin, end, count = words(data, starts)
+                h, n = _runs(data, begin, end, count, SHINGLE, seed)
                 some = np.flatnonzero(n)
-                order = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-                content = [np.add.reduceat(mix(h + order.astype(np.uint64) * np.uint64(c)), (np.cumsum(n) - n)[some]) if len(some) else h for c in (HASH_A, HASH_B)]
-                contents = np.stack(content, 1).tobytes()
                 k = registers(h, n[some], seed=seed).astype("<u2").tobytes() if len(some) else b""
                 rows = np.full(len(n), -1)
                 rows[some] = np.arange(len(some))
                 pick = pa.array(rows, mask=rows < 0)
                 take = lambda raw, w: pa.Array.from_buffers(pa.binary(w), len(some), [None, pa.py_buffer(raw)]).cast(pa.binary()).take(pick)
-                yield pa.record_batch([part.column("key"), take(contents, 16), take(k, 2 * REGISTERS)], schema=schema)
+                yield pa.record_batch([part.column("key"), pa.array(contents(data, begin, end, count), pa.binary()), take(k, 2 * REGISTERS)], schema=schema)
 
-    rows = small_batches(docs).filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.lower(F.col(text)).alias("text"))
+    rows = spread(docs).filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.lower(F.col(text)).alias("text"))
     return rows.mapInArrow(sketch, "doc_id long, content binary, sketch binary")
 
 
@@ -120,34 +137,47 @@ def near_pairs(docs: DataFrame, sketched: DataFrame, threshold: float = 0.5, key
     """(links, heads): verified links (a, b) that connect what is similar, and the document that stands for each content.
 
     Documents of one content are represented by the least doc_id. Heads that share a band of registers form a bucket.
-    First all of a bucket are compared with its least doc_id, its leader. Those that don't match it are then compared
-    with everyone in the bucket. Two heads of a bucket that both match the leader are connected through it, so the
-    components are those of comparing all pairs of the bucket, at a cost that follows its size and not the square.
+    First all of a bucket are compared with a leader; those that don't match it then choose a leader of their own, and are
+    compared with it; what is left is compared in full. Two heads that both match a leader are connected through it. One
+    that matches it (similarity s) and one that doesn't (r) can be near only if s - r <= 1 - threshold, as 1 - Jaccard is
+    a metric: such pairs are compared too. So the components are those of comparing all pairs of the bucket, and close
+    copies cost one comparison each, even beside an outlying leader.
     """
     heads = written(sketched.filter("content is not null").groupBy("content").agg(F.min(F.struct("doc_id", "sketch")).alias("h")).select("content", "h.doc_id", "h.sketch"), "heads")
     bands = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 2 * BAND * i + 1, 2 * BAND)) for i in range(REGISTERS // BAND)]))
-    in_bucket = Window.partitionBy("bucket")
-    buckets = heads.select("doc_id", bands.alias("bucket")).withColumns({"leader": F.min("doc_id").over(in_bucket), "last": F.max("doc_id").over(in_bucket)})
-    buckets = written(buckets.filter("leader < last").select("bucket", "doc_id", "leader"), "buckets")
-
-    first = buckets.filter("doc_id > leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    tried = _verified(first, heads, docs, threshold, key, text, seed)
-    loose = tried.filter("not near").select(F.col("a").alias("leader"), F.col("b").alias("doc_id"))
-    alone = buckets.join(loose, ["leader", "doc_id"]).select("bucket", F.col("doc_id").alias("x"))
-    others = buckets.filter("doc_id > leader").select("bucket", F.col("doc_id").alias("y"))
-    second = alone.join(others, "bucket").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    second = second.join(tried, ["a", "b"], "left_anti")
-    more = _verified(second, heads, docs, threshold, key, text, seed)
-    return tried.filter("near").select("a", "b").unionByName(more.filter("near").select("a", "b")), heads
+    left = heads.select("doc_id", bands.alias("bucket"))
+    verified = lambda pairs: _verified(pairs, heads, docs, threshold, key, text, seed)
+    tried, more = None, []
+    for first in (F.col("doc_id"), F.struct(F.xxhash64("bucket", "doc_id"), F.col("doc_id"))):
+        in_bucket = Window.partitionBy("bucket")
+        led = left.withColumns({"leader": F.min(first).over(in_bucket), "n": F.count("*").over(in_bucket)}).filter("n > 1")
+        leader = F.col("leader") if first._jc.toString() == "doc_id" else F.col("leader.doc_id")
+        led = written(led.select("bucket", "doc_id", leader.alias("leader")), "buckets")
+        ends = [F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")]
+        pairs = led.filter("doc_id <> leader").select(*ends).distinct()
+        new = verified(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = new if tried is None else tried.unionByName(new)
+        said = led.filter("doc_id <> leader").select("bucket", "doc_id", *ends).join(tried, ["a", "b"]).select("bucket", "doc_id", "near", "jaccard")
+        said = written(said, "said")
+        loose, matched = said.filter("not near"), said.filter("near")
+        most = loose.groupBy("bucket").agg(F.max("jaccard").alias("most"))
+        far = matched.join(most, "bucket").filter(F.col("jaccard") <= F.col("most") + 1 - threshold)
+        across = far.select("bucket", F.col("doc_id").alias("y"), F.col("jaccard").alias("s")).join(loose.select("bucket", F.col("doc_id").alias("x"), F.col("jaccard").alias("r")), "bucket")
+        more.append(across.filter(F.col("s") - F.col("r") <= 1 - threshold).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        left = loose.select("doc_id", "bucket")
+    more.append(left.select(F.col("doc_id").alias("a"), "bucket").join(left.select(F.col("doc_id").alias("b"), "bucket"), "bucket").filter("a < b").select("a", "b"))
+    rest = more[0].unionByName(more[1]).unionByName(more[2]).distinct().join(tried, ["a", "b"], "left_anti")
+    return tried.unionByName(verified(rest)).filter("near").select("a", "b"), heads
 
 
 def _verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, threshold: float, key: str, text: str, seed: int) -> DataFrame:
-    """(a, b, near): near if the sets of shingles have a Jaccard similarity of `threshold`; written to the shared folder.
+    """(a, b, near, jaccard): near if the sets of shingles have a Jaccard similarity of `threshold`; written to the shared folder.
 
-    Pairs whose joint estimate is more than four standard errors below the threshold are settled by it; all others are
-    verified on the shingles themselves.
+    Pairs whose joint estimate is more than four standard errors below the threshold are settled by it, and `jaccard` is
+    the estimate and four standard errors; all others are verified on the shingles themselves.
     """
-    least = threshold - 4 * (threshold * (1 - threshold) / REGISTERS) ** 0.5
+    error = 4 * (threshold * (1 - threshold) / REGISTERS) ** 0.5
+    least = threshold - error
 
     def estimate(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for u, v in parts:
@@ -181,8 +211,8 @@ def _verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, threshold: fl
     both = hopeful.join(sets.withColumnsRenamed({"doc_id": "b", "hashes": "v"}).hint("merge"), "b").join(sets.withColumnsRenamed({"doc_id": "a", "hashes": "u"}).hint("merge"), "a")
     # A repeated doc_id is one document here: the nearest of its texts counts.
     exact = both.select("a", "b", F.pandas_udf(compare, "double")("u", "v").alias("jaccard")).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
-    hopeless = estimated.filter(F.col("j") < least).select("a", "b", F.lit(False).alias("near"))
-    return written(exact.select("a", "b", (F.col("jaccard") >= threshold).alias("near")).unionByName(hopeless), "tried")
+    hopeless = estimated.filter(F.col("j") < least).select("a", "b", F.lit(False).alias("near"), (F.col("j") + error).alias("jaccard"))
+    return written(exact.select("a", "b", (F.col("jaccard") >= threshold).alias("near"), "jaccard").unionByName(hopeless), "tried")
 
 
 def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -223,24 +253,33 @@ def near_groups(docs: DataFrame, threshold: float = 0.5, key: str = "doc_id", te
     connect. Candidates share one of 40 bands of 4 registers; a pair at similarity 0.57 is found with probability 0.99, and
     almost surely where a group links it in several ways. Documents without a near duplicate are groups of one.
 
-    Texts that are null or have no words resemble nothing and are groups of one. Rows that repeat a doc_id are one
-    document, listed once; rows with a null doc_id are left out. Extra columns are ignored. No rows: no groups.
+    Texts that are null or have no words resemble nothing and are groups of one. Whole texts are sketched and verified,
+    however long. Rows that repeat a doc_id are one document, listed once, and near what any of its texts is near; rows
+    with a null doc_id are left out. Equally near documents are all in the group. Extra columns are ignored. No rows: no
+    groups. The members of a group stand in one row; near_roots gives the same groups as narrow rows, for groups too large
+    for that.
 
     How it runs: one map-only pass over the texts gives 160 registers of 16 bits each; equal contents are collapsed before
     anything is compared, and only texts of hopeful candidates are read again. Every result that is used twice is written
     to the shared folder. Bloom filters of bounded size drop texts and sketches that no pair needs where they are read; joins
     are sort-merge at any size. Nothing else reaches the driver but counts.
     """
+    roots = near_roots(docs, threshold, key, text, seed)
+    return roots.groupBy(F.col("root")).agg(F.sort_array(F.collect_list("doc_id")).alias("members")).select(F.col("root").alias("doc_id"), "members")
+
+
+def near_roots(docs: DataFrame, threshold: float = 0.5, key: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
+    """(doc_id, root): for each document the least doc_id of its group (near_groups). Groups of any size."""
     sketched = written(sketches(docs, key, text, seed), "sketches")
-    links, heads = near_pairs(docs, sketched, threshold, key, text, seed)
-    return _grouped(sketched, links, heads)
+    roots = _linked(docs, sketched, threshold, key, text, seed)
+    return sketched.select("doc_id").distinct().join(roots, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
 
 
-def _grouped(sketched: DataFrame, links: DataFrame, heads: DataFrame) -> DataFrame:
+def _linked(docs: DataFrame, sketched: DataFrame, threshold: float, key: str, text: str, seed: int) -> DataFrame:
+    """(doc_id, root) of all documents but those that stand for their group, or are alone."""
+    links, heads = near_pairs(docs, sketched, threshold, key, text, seed)
     same = sketched.select("content", "doc_id").join(heads.select("content", F.col("doc_id").alias("head")), "content").filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
-    roots = components(links.unionByName(same))
-    grouped = sketched.select("doc_id").distinct().join(roots, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
-    return grouped.groupBy(F.col("root")).agg(F.sort_array(F.collect_list("doc_id")).alias("members")).select(F.col("root").alias("doc_id"), "members")
+    return components(links.unionByName(same))
 
 
 def drop_near(docs: DataFrame, threshold: float = 0.5, key: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
@@ -250,10 +289,8 @@ def drop_near(docs: DataFrame, threshold: float = 0.5, key: str = "doc_id", text
     columns) stays.
     """
     sketched = written(sketches(docs, key, text, seed), "sketches")
-    links, heads = near_pairs(docs, sketched, threshold, key, text, seed)
-    same = sketched.select("content", "doc_id").join(heads.select("content", F.col("doc_id").alias("head")), "content").filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
     id_ = fresh(docs, "__removed")
-    removed = written(components(links.unionByName(same)).select(F.col("doc_id").alias(id_)), "removed")
+    removed = written(_linked(docs, sketched, threshold, key, text, seed).select(F.col("doc_id").alias(id_)), "removed")
     some = Bloom(removed)  # only rows that may be removed move
     kept = some.outside(docs, key).unionByName(some.within(docs, key).join(removed.hint("merge"), F.col(key).cast("long") == F.col(id_), "left_anti"))
     twice = sketched.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(id_))

@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TOKENIZER_DIR, chunks, encoder, small_batches, text_bytes, written
+from ..operators.layout import spread
+from .common import TOKENIZER_DIR, chunks, encoder, text_bytes, written
 
 
 class CapacityTree:
@@ -103,10 +104,41 @@ def token_lengths(docs: DataFrame, tokenizer: str = f"{TOKENIZER_DIR}/byte_bpe_m
                 data, starts = text_bytes(part.column("text"))
                 yield pa.record_batch([part.column("key"), pa.array(encoder(tokenizer).count(data, starts) + 1, pa.int32())], [key, "n_tokens"])
 
-    return small_batches(docs).select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(count, schema)
+    return spread(docs).select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(count, schema)
 
 
-def pack_windows(lengths: DataFrame, window: int, key: str = "doc_id", length: str = "n_tokens", buckets: int = 256) -> DataFrame:
+def token_pieces(docs: DataFrame, window: int, tokenizer: str = f"{TOKENIZER_DIR}/byte_bpe_multi_50k.tiktoken", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(k, start, len, ids): the tokens of every row and an end-of-text token, cut into full windows and a rest.
+
+    ids are little-endian, of the encoder's width; start is the piece's place in its text. A null or empty text is the
+    end-of-text token alone.
+    """
+    schema = docs.select(F.col(key).alias("k"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("len"), F.lit(b"").alias("ids")).schema
+
+    def cut(batches):
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                e = encoder(tokenizer)
+                ids, n = e.encode(*text_bytes(part.column("text")))
+                ids, n = np.insert(ids, np.cumsum(n), e.end).astype(e.dtype), n + 1
+                pieces = -(-n // window)
+                of = np.repeat(np.arange(len(n)), pieces)
+                start = (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
+                size = np.minimum(window, n[of] - start)
+                ends = np.concatenate([[0], np.cumsum(size)]) * e.dtype().itemsize
+                flat = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
+                for low in range(0, len(of), PIECES):  # a batch of a long text's pieces stays small
+                    mine = slice(low, low + PIECES)
+                    yield pa.record_batch([part.column("key").take(pa.array(of[mine])), pa.array(start[mine]), pa.array(size[mine]), flat.slice(low, PIECES)], ["k", "start", "len", "ids"])
+
+    return spread(docs).select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(cut, schema)
+
+
+#: Pieces of an Arrow batch, and about as many as a task ranks at once.
+PIECES, RANKED = 1000, 50_000
+
+
+def pack_windows(lengths: DataFrame, window: int, key: str = "doc_id", length: str = "n_tokens", buckets: int | None = None) -> DataFrame:
     """Packs rows of the given length into windows of `window` tokens; one result row for each window.
 
     Rows longer than the window are first cut into full windows; the rest of each goes to best-fit decreasing with the
@@ -115,57 +147,87 @@ def pack_windows(lengths: DataFrame, window: int, key: str = "doc_id", length: s
     `window`; every token of every row is in one window once.
 
     Null or non-positive lengths have nothing to pack and appear in no window. Null keys are packed as null. Ties of
-    length are ordered by key; repeated rows are packed each. No rows: no windows. Extra columns are ignored.
+    length are ordered by key, then by place; repeated rows are packed each. No rows: no windows. Extra columns are ignored.
 
-    How it runs: keys and lengths are written once to the shared folder. Best-fit decreasing needs only how many pieces have each length, at most `window` numbers, which the
-    driver places exactly (best_fit_decreasing). Each piece then finds its segment by its rank among pieces of its length;
-    ranks come from windows over (length, hash bucket), so that a common length doesn't make one large task. The segment
-    table sent to the workers follows the distinct lengths, not the rows.
+    How it runs: pieces are written once to the shared folder. Best-fit decreasing needs only how many pieces have each
+    length, at most `window` numbers, which the driver places exactly (best_fit_decreasing). Each piece then finds its
+    segment by its rank among pieces of its length; ranks come from windows over (length, hash bucket), with as many
+    `buckets` as pieces ask for, so that a common length doesn't make one large task. The segment table sent to the
+    workers follows the distinct lengths, not the rows.
     """
     if window < 1:
         raise ValueError("window must be 1 at least")
-    rows = written(lengths.select(F.col(key).alias("k"), F.col(length).cast("long").alias("n")).filter("n > 0"), "lengths")
-    spark = lengths.sparkSession
-    rows = rows.select("k", "n", F.floor(F.col("n") / window).alias("full"), (F.col("n") % window).alias("rest"))
-    rest = rows.filter("rest > 0").select("k", F.col("rest").alias("len"), (F.col("full") * window).alias("start"), F.pmod(F.xxhash64("k"), F.lit(buckets)).alias("b"))
-    full = rows.filter("full > 0").select("k", "full", F.pmod(F.xxhash64("k"), F.lit(buckets)).alias("b"))
-
-    counted = rest.groupBy("len", "b").agg(F.count("*").alias("c"))
-    firsts = counted.withColumn("first", F.coalesce(F.sum("c").over(Window.partitionBy("len").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    segments, opened = best_fit_decreasing({r.len: r.c for r in counted.groupBy("len").agg(F.sum("c").alias("c")).collect()}, window)
-
-    ranked = rest.withColumn("r", F.row_number().over(Window.partitionBy("len", "b").orderBy("k", "start")) - 1).join(firsts.drop("c"), ["len", "b"])
-    placed = ranked.select("k", "start", "len", (F.col("r") + F.col("first")).alias("rank")).mapInPandas(_placer(spark, segments), f"k {dict(rows.dtypes)['k']}, start long, len long, window_id long, offset long")
-
-    whole = full.groupBy("b").agg(F.sum("full").alias("c")).withColumn("base", F.coalesce(F.sum("c").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + opened)  # `buckets` rows
-    earlier = Window.partitionBy("b").orderBy("k", "full").rowsBetween(Window.unboundedPreceding, -1)
-    cut = (
-        full.withColumn("at", F.coalesce(F.sum("full").over(earlier), F.lit(0))).join(whole.drop("c"), "b")
-        .select("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("i"), (F.col("base") + F.col("at")).alias("w"))
-        .select("k", (F.col("i") * window).alias("start"), F.lit(window).cast("long").alias("len"), (F.col("w") + F.col("i")).alias("window_id"), F.lit(0).cast("long").alias("offset"))
-    )
-    pieces = F.sort_array(F.collect_list(F.struct("offset", "k", "start", "len")))
-    packed = placed.unionByName(cut).groupBy("window_id").agg(F.sum("len").alias("used"), pieces.alias("p"))
-    return packed.select("window_id", "used", F.col("p.k").alias("doc_ids"), F.col("p.start").alias("doc_starts"), F.col("p.len").alias("piece_lengths"), F.col("p.offset").alias("offsets"))
+    n, at = F.col(length).cast("long"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / window)))
+    pieces = lengths.select(F.col(key).alias("k"), n.alias("n")).filter("n > 0").select("k", "n", at.alias("i"))
+    pieces = pieces.select("k", (F.col("i") * window).alias("start"), "n").select("k", "start", F.least(F.col("n") - F.col("start"), F.lit(window).cast("long")).alias("len"))
+    return _packed(written(pieces, "pieces"), window, buckets).drop("ids")
+
+
+def pack_tokens(docs: DataFrame, window: int, tokenizer: str = f"{TOKENIZER_DIR}/byte_bpe_multi_50k.tiktoken", key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
+    """Packs the tokens of texts (token_pieces) as pack_windows does; its columns, and token_ids: the window's ids in order.
+
+    Every row has one token at least, its end of text; so null and empty texts are packed too. Whole texts are packed,
+    however long. All else as in pack_windows.
+
+    How it runs: texts are tokenised once, into pieces written to the shared folder. Ids move twice, to be ranked among
+    pieces of their length and to meet their window; full windows move once.
+    """
+    if window < 1:
+        raise ValueError("window must be 1 at least")
+    packed = _packed(written(token_pieces(docs, window, tokenizer, key, text), "pieces"), window, buckets)
+    dtype = encoder(tokenizer).dtype
+    schema = packed.drop("ids").withColumn("token_ids", F.array().cast("array<int>")).schema
+
+    def join(batches):
+        for batch in batches:
+            data, _ = text_bytes(batch.column("ids").flatten())
+            ends = np.concatenate([[0], np.cumsum(batch.column("used").to_numpy())]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(data.tobytes(), dtype).astype(np.int32)))
+            yield pa.record_batch([*[batch.column(c) for c in schema.names[:-1]], ids], schema.names)
+
+    return packed.mapInArrow(join, schema)
+
+
+def _packed(pieces: DataFrame, window: int, buckets: int | None) -> DataFrame:
+    """Windows of (k, start, len[, ids]); `ids` lists the pieces' ids."""
+    spark, carried = pieces.sparkSession, [c for c in pieces.columns if c == "ids"]
+    if buckets is None:
+        buckets = 1 + pieces.count() // RANKED
+    pieces = pieces.withColumn("b", F.pmod(F.xxhash64("k", "start"), F.lit(buckets)))
+    counted = pieces.groupBy("len", "b").agg(F.count("*").alias("c"))
+    firsts = counted.select("len", "b", F.coalesce(F.sum("c").over(Window.partitionBy("len").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    segments, _ = best_fit_decreasing({r.len: r.c for r in counted.groupBy("len").agg(F.sum("c").alias("c")).collect()}, window)
+    placer = _placer(spark, segments)
+
+    def placed(some: DataFrame) -> DataFrame:
+        ranked = some.withColumn("r", F.row_number().over(Window.partitionBy("len", "b").orderBy("k", "start")) - 1).join(firsts, ["len", "b"])
+        ranked = ranked.select("k", "start", "len", *carried, (F.col("r") + F.col("first")).alias("rank"))
+        return ranked.mapInArrow(placer, ranked.drop("rank").withColumns({"window_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema)
+
+    names = {"k": "doc_ids", "start": "doc_starts", "len": "piece_lengths", "offset": "offsets", "ids": "ids"}
+    lists = [c for c in names if c != "ids" or carried]
+    full = placed(pieces.filter(F.col("len") == window)).select("window_id", F.col("len").alias("used"), *[F.array(c).alias(names[c]) for c in lists])
+    joined = placed(pieces.filter(F.col("len") < window)).groupBy("window_id").agg(F.sum("len").alias("used"), F.sort_array(F.collect_list(F.struct("offset", *[c for c in lists if c != "offset"]))).alias("p"))
+    return full.unionByName(joined.select("window_id", "used", *[F.col(f"p.{c}").alias(names[c]) for c in lists]))
 
 
 def _placer(spark, segments: np.ndarray):
     order = np.lexsort((segments[:, 1], segments[:, 0]))
     held = spark.sparkContext.broadcast(segments[order])
 
-    def place(frames):
+    def place(batches):
         seg = held.value
         lengths, begins = np.unique(seg[:, 0], return_index=True)
         stops = np.append(begins[1:], len(seg))
-        for f in frames:
-            n, rank, at = f["len"].to_numpy(np.int64), f["rank"].to_numpy(np.int64), np.zeros(len(f), np.int64)
+        for batch in batches:
+            n, rank, at = batch.column("len").to_numpy(), batch.column("rank").to_numpy(), np.zeros(batch.num_rows, np.int64)
             group = np.searchsorted(lengths, n)
             for g in np.unique(group):
                 mine = group == g
                 at[mine] = begins[g] + np.searchsorted(seg[begins[g] : stops[g], 1], rank[mine], "right") - 1
             s = seg[at]
             i = rank - s[:, 1]
-            f["window_id"], f["offset"] = s[:, 3] + i // s[:, 4], s[:, 5] + (i % s[:, 4]) * n
-            yield f[["k", "start", "len", "window_id", "offset"]]
+            kept = [c for c in batch.schema.names if c != "rank"]
+            yield pa.record_batch([*[batch.column(c) for c in kept], pa.array(s[:, 3] + i // s[:, 4]), pa.array(s[:, 5] + (i % s[:, 4]) * n)], [*kept, "window_id", "offset"])
 
     return place

@@ -56,7 +56,7 @@ def op8_near_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_windows(packing.token_lengths(table(spark, sf_dir, "documents")), WINDOW)
+    return packing.pack_tokens(table(spark, sf_dir, "documents"), WINDOW)
 
 
 def op10_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
