@@ -134,11 +134,11 @@ def token_pieces(docs: DataFrame, window: int, tokenizer: str = f"{TOKENIZER_DIR
     return spread(docs).select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(cut, schema)
 
 
-#: Pieces of an Arrow batch, and about as many as a task ranks at once.
-PIECES, RANKED = 1000, 50_000
+#: Pieces of an Arrow batch, and about as many of one length as a task ranks at once.
+PIECES, RANKED = 1000, 2000
 
 
-def pack_windows(lengths: DataFrame, window: int, key: str = "doc_id", length: str = "n_tokens", buckets: int | None = None) -> DataFrame:
+def pack_windows(lengths: DataFrame, window: int, key: str = "doc_id", length: str = "n_tokens", ranked: int = RANKED) -> DataFrame:
     """Packs rows of the given length into windows of `window` tokens; one result row for each window.
 
     Rows longer than the window are first cut into full windows; the rest of each goes to best-fit decreasing with the
@@ -151,20 +151,21 @@ def pack_windows(lengths: DataFrame, window: int, key: str = "doc_id", length: s
 
     How it runs: pieces are written once to the shared folder. Best-fit decreasing needs only how many pieces have each
     length, at most `window` numbers, which the driver places exactly (best_fit_decreasing). Each piece then finds its
-    segment by its rank among pieces of its length; ranks come from windows over (length, hash bucket), with as many
-    `buckets` as pieces ask for, so that a common length doesn't make one large task. The segment table sent to the
-    workers follows the distinct lengths, not the rows.
+    segment by its rank among pieces of its length; ranks come from windows over (length, hash bucket), with a bucket for
+    each `ranked` pieces of the length, so that a common length doesn't make a large task. The segment and bucket tables
+    sent to the workers follow the distinct lengths, not the rows.
     """
     if window < 1:
         raise ValueError("window must be 1 at least")
     n, at = F.col(length).cast("long"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / window)))
     pieces = lengths.select(F.col(key).alias("k"), n.alias("n")).filter("n > 0").select("k", "n", at.alias("i"))
     pieces = pieces.select("k", (F.col("i") * window).alias("start"), "n").select("k", "start", F.least(F.col("n") - F.col("start"), F.lit(window).cast("long")).alias("len"))
-    return _packed(written(pieces, "pieces"), window, buckets).drop("ids")
+    return _packed(written(pieces, "pieces"), window, ranked)
 
 
-def pack_tokens(docs: DataFrame, window: int, tokenizer: str = f"{TOKENIZER_DIR}/byte_bpe_multi_50k.tiktoken", key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
-    """Packs the tokens of texts (token_pieces) as pack_windows does; its columns, and token_ids: the window's ids in order.
+def pack_tokens(docs: DataFrame, window: int, tokenizer: str = f"{TOKENIZER_DIR}/byte_bpe_multi_50k.tiktoken", key: str = "doc_id", text: str = "text", ranked: int = RANKED) -> DataFrame:
+    """Packs the tokens of texts (token_pieces) as pack_windows does; its columns, and token_ids: the window's ids in order,
+    little-endian, of two bytes each (four if the vocabulary has more than 65,536).
 
     Every row has one token at least, its end of text; so null and empty texts are packed too. Whole texts are packed,
     however long. All else as in pack_windows.
@@ -174,35 +175,34 @@ def pack_tokens(docs: DataFrame, window: int, tokenizer: str = f"{TOKENIZER_DIR}
     """
     if window < 1:
         raise ValueError("window must be 1 at least")
-    packed = _packed(written(token_pieces(docs, window, tokenizer, key, text), "pieces"), window, buckets)
-    dtype = encoder(tokenizer).dtype
-    schema = packed.drop("ids").withColumn("token_ids", F.array().cast("array<int>")).schema
+    packed = _packed(written(token_pieces(docs, window, tokenizer, key, text), "pieces"), window, ranked)
+    width, names = encoder(tokenizer).dtype().itemsize, [c for c in packed.columns if c != "ids"]
 
     def join(batches):
         for batch in batches:
             data, _ = text_bytes(batch.column("ids").flatten())
-            ends = np.concatenate([[0], np.cumsum(batch.column("used").to_numpy())]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(data.tobytes(), dtype).astype(np.int32)))
-            yield pa.record_batch([*[batch.column(c) for c in schema.names[:-1]], ids], schema.names)
+            ends = np.concatenate([[0], np.cumsum(batch.column("used").to_numpy())]) * width
+            ids = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data)])
+            yield pa.record_batch([*[batch.column(c) for c in names], ids], [*names, "token_ids"])
 
-    return packed.mapInArrow(join, schema)
+    return packed.mapInArrow(join, packed.select(*names, F.lit(b"").alias("token_ids")).schema)
 
 
-def _packed(pieces: DataFrame, window: int, buckets: int | None) -> DataFrame:
+def _packed(pieces: DataFrame, window: int, ranked: int) -> DataFrame:
     """Windows of (k, start, len[, ids]); `ids` lists the pieces' ids."""
     spark, carried = pieces.sparkSession, [c for c in pieces.columns if c == "ids"]
-    if buckets is None:
-        buckets = 1 + pieces.count() // RANKED
-    pieces = pieces.withColumn("b", F.pmod(F.xxhash64("k", "start"), F.lit(buckets)))
+    counts = {r.len: r.c for r in pieces.groupBy("len").agg(F.count("*").alias("c")).collect()}
+    segments, _ = best_fit_decreasing(counts, window)
+    buckets = F.broadcast(spark.createDataFrame([(n, 1 + c // ranked) for n, c in counts.items()], "len long, buckets long"))  # `window` rows at most
+    pieces = pieces.join(buckets, "len").withColumn("b", F.pmod(F.xxhash64("k", "start"), F.col("buckets"))).drop("buckets")
     counted = pieces.groupBy("len", "b").agg(F.count("*").alias("c"))
     firsts = counted.select("len", "b", F.coalesce(F.sum("c").over(Window.partitionBy("len").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    segments, _ = best_fit_decreasing({r.len: r.c for r in counted.groupBy("len").agg(F.sum("c").alias("c")).collect()}, window)
     placer = _placer(spark, segments)
 
     def placed(some: DataFrame) -> DataFrame:
-        ranked = some.withColumn("r", F.row_number().over(Window.partitionBy("len", "b").orderBy("k", "start")) - 1).join(firsts, ["len", "b"])
-        ranked = ranked.select("k", "start", "len", *carried, (F.col("r") + F.col("first")).alias("rank"))
-        return ranked.mapInArrow(placer, ranked.drop("rank").withColumns({"window_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema)
+        placed_ = some.withColumn("r", F.row_number().over(Window.partitionBy("len", "b").orderBy("k", "start")) - 1).join(firsts, ["len", "b"])
+        placed_ = placed_.select("k", "start", "len", *carried, (F.col("r") + F.col("first")).alias("rank"))
+        return placed_.mapInArrow(placer, placed_.drop("rank").withColumns({"window_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema)
 
     names = {"k": "doc_ids", "start": "doc_starts", "len": "piece_lengths", "offset": "offsets", "ids": "ids"}
     lists = [c for c in names if c != "ids" or carried]

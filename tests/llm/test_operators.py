@@ -796,7 +796,7 @@ def test_packing_against_brute_force(spark):
         lengths = [(i, random.choice([0, -3, None, 1, 5, window, window * 3, random.randint(1, 3 * window)])) for i in range(250)]
         lengths += [(None, 5), (3, lengths[3][1]), (3, lengths[3][1])]
         df = spark.createDataFrame(lengths, "doc_id long, n_tokens long").withColumns({"len": F.lit(1), "window_id": F.lit(2)})
-        rows = packing.pack_windows(df, window, buckets=5).collect()
+        rows = packing.pack_windows(df, window, ranked=5).collect()
         assert sorted(r.window_id for r in rows) == list(range(len(rows)))
         seen = Counter()
         for r in rows:
@@ -834,12 +834,13 @@ def test_packed_tokens(spark, hard, empty):
     """The windows' ids are those of the texts, piece by piece; windows are those of packing the lengths."""
     texts = [(1, LONG), (1, LONG), (2, None), (3, ""), (None, "some words"), *((i, "word " * (i % 40)) for i in range(10, 400)), *enumerate(twins(12), 500)]
     df = spark.createDataFrame(texts, "doc_id long, text string").withColumns({"ids": F.lit(1), "len": F.lit(2), "window_id": F.lit(3)})
-    rows = packing.pack_tokens(df, 100, buckets=3).collect()
+    rows = packing.pack_tokens(df, 100, ranked=30).collect()
     e, got, want = TokenEncoder(), Counter(), Counter()
     for r in rows:
-        assert len(r.token_ids) == r.used <= 100
+        ids = np.frombuffer(bytes(r.token_ids), "<u2").tolist()
+        assert len(ids) == r.used <= 100
         for d, s, n, o in zip(r.doc_ids, r.doc_starts, r.piece_lengths, r.offsets):
-            got[d, s, tuple(r.token_ids[o : o + n])] += 1
+            got[d, s, tuple(ids[o : o + n])] += 1
     for d, t in texts:
         ids = [*e.encoding.encode_ordinary(t or ""), e.end]
         for s in range(0, len(ids), 100):
