@@ -6,14 +6,13 @@ import atexit
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.layout import spread
 
 TOKENIZER_DIR = "/opt/tokenizers"
 #: Bytes of text that a Python worker handles at once; it bounds memory, not the work.
@@ -47,30 +46,31 @@ def _forget() -> None:
 atexit.register(_forget)
 
 
-#: Rows and bytes of an Arrow batch of texts while a table is written; they bound what a Python worker and its task hold, not the work.
+#: Rows and bytes of an Arrow batch of texts; they bound what a Python worker and its task hold, not the work.
 BATCH_ROWS, BATCH_BYTES = 1000, 4_000_000
 
 
-@contextmanager
-def bounded_batches(spark: SparkSession) -> Iterator[None]:
-    """Within it, Arrow batches are small enough for long texts. What the session has set stays, and all is as before afterwards."""
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, dealt out over all cores (spread), in a copy of its session whose Arrow batches are small enough for long texts.
+
+    What the session has set itself stays, and the session stays as it is: only plans that are made of df are run in the copy.
+    """
+    spark = df.sparkSession
     ours = {f"spark.sql.execution.arrow.{n}": str(most) for n, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES))}
     ours = {k: v for k, v in ours.items() if spark.conf.get(k, None) is None}
+    if not ours:
+        return spread(df)
+    copy = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
     for k, v in ours.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k in ours:
-            spark.conf.unset(k)
+        copy.conf.set(k, v)
+    return spread(DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(copy._jsparkSession, df._jdf.logicalPlan()), copy))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomspan/{name}-{uuid.uuid4().hex}"
-    with bounded_batches(spark):
-        df.write.parquet(path)
+    df.write.parquet(path)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -139,9 +139,9 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of all texts end to end, and where each begins (one more entry than texts). Null is empty."""
+    """The bytes (UTF-8) of all texts, or of binary values, end to end, and where each begins (one more entry than texts). Null is empty."""
     column = column.fill_null("") if column.null_count else column
-    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    width = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
     starts = np.frombuffer(column.buffers()[1], width, len(column) + 1, column.offset * np.dtype(width).itemsize).astype(np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8)[starts[0] : starts[-1]] if column.buffers()[2] else np.zeros(0, np.uint8)
     return data, starts - starts[0]
@@ -267,7 +267,7 @@ class TokenEncoder:
     batch to batch; this saves time only.
     """
 
-    def __init__(self, path: str = f"{TOKENIZER_DIR}/byte_bpe_multi_50k.tiktoken", remember: int = 500_000):
+    def __init__(self, path: str = f"{TOKENIZER_DIR}/byte_bpe_multi_50k.tiktoken", remember: int = 100_000):
         import base64
 
         import tiktoken

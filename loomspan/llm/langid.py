@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.layout import spread
-from .common import fresh, seeded_unit
+from .common import fresh, seeded_unit, small_batches
 
 #: Bounds of the sample that dictionaries are made of: rows of each language, and bytes of each dictionary.
 SAMPLE_ROWS, DICTIONARY_BYTES, PIECE_BYTES = 400, 65536, 4096
@@ -74,14 +73,14 @@ def identify(docs: DataFrame, dictionaries: Mapping[str, bytes], margin: float =
     names = sorted(dictionaries)
     held = docs.sparkSession.sparkContext.broadcast([dictionaries[n] for n in names])
 
-    def classify(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def classify(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         made = [_compressor(d, level) for d in held.value]
         if len(made) == 1:
             made.append(_compressor(b"", level))
         for column in texts:
             best, gap = [], []
-            for t in column:
-                data = t.encode() if t else b""
+            for t in column.cast(pa.binary()):
+                data = t.as_py() or b""
                 cuts = [data[i : i + piece] for i in range(0, len(data), piece)]
                 sizes = [sum(len(c.compress(x)) for x in cuts) for c in made]
                 order = np.argsort(sizes, kind="stable")
@@ -90,12 +89,12 @@ def identify(docs: DataFrame, dictionaries: Mapping[str, bytes], margin: float =
                 keep = m >= margin and bool(data) and order[0] < len(names)
                 best.append(names[order[0]] if keep else None)
                 gap.append(m)
-            yield pd.DataFrame({"detected": best, "margin": gap})
+            yield pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(gap, pa.float64())], ["detected", "margin"])
 
-    found = F.pandas_udf(classify, "detected string, margin double").asNondeterministic()  # a filter on it mustn't run it again
+    found = F.arrow_udf(classify, "struct<detected:string,margin:double>").asNondeterministic()  # a filter on it mustn't run it again
     got, detected, gap = fresh(docs, "__got"), fresh(docs, "detected"), fresh(docs, "margin")
     none = F.struct(F.lit(None).cast("string").alias("detected"), F.lit(0.0).alias("margin"))
-    scored = spread(docs).withColumn(got, found(F.lower(F.col(text))) if names else none)
+    scored = small_batches(docs).withColumn(got, found(F.lower(F.col(text))) if names else none)
     return scored.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(got)["detected"].alias(detected), F.col(got)["margin"].alias(gap))
 
 

@@ -6,13 +6,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.layout import spread
-from .common import HASH_B, Bloom, SpanHash, chunks, fresh, mix, ragged, text_bytes, words, written
+from .common import HASH_B, Bloom, SpanHash, chunks, fresh, mix, ragged, small_batches, text_bytes, words, written
 
 #: Registers are max(floor(1 - log_b h)) clipped to 0..Q+1, h being exponential with rate A: 16 bits each.
 REGISTERS, BASE, RATE, Q = 160, 1.001, 20.0, 2**16 - 2
@@ -129,7 +127,7 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int
                 take = lambda raw, w: pa.Array.from_buffers(pa.binary(w), len(some), [None, pa.py_buffer(raw)]).cast(pa.binary()).take(pick)
                 yield pa.record_batch([part.column("key"), pa.array(contents(data, begin, end, count), pa.binary()), take(k, 2 * REGISTERS)], schema=schema)
 
-    rows = spread(docs).filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.lower(F.col(text)).alias("text"))
+    rows = small_batches(docs).filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.lower(F.col(text)).alias("text"))
     return rows.mapInArrow(sketch, "doc_id long, content binary, sketch binary")
 
 
@@ -179,20 +177,19 @@ def _verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, threshold: fl
     error = 4 * (threshold * (1 - threshold) / REGISTERS) ** 0.5
     least = threshold - error
 
-    def estimate(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for u, v in parts:
-            rows = [np.frombuffer(b"".join(x), "<u2").reshape(-1, REGISTERS) for x in (u, v)]
-            yield pd.Series(joint_jaccard(*rows))
+    def estimate(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for pair in parts:
+            yield pa.array(joint_jaccard(*[text_bytes(x)[0].view("<u2").reshape(-1, REGISTERS) for x in pair]))
 
     pairs = written(pairs, "pairs")
     s = Bloom(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()).within(heads.select("doc_id", "sketch"), "doc_id")
     with_sketches = pairs.join(s.withColumnsRenamed({"doc_id": "a", "sketch": "u"}).hint("merge"), "a").join(s.withColumnsRenamed({"doc_id": "b", "sketch": "v"}).hint("merge"), "b")
-    scored = with_sketches.select("a", "b", F.pandas_udf(estimate, "double")("u", "v").alias("j"))
+    scored = with_sketches.select("a", "b", F.arrow_udf(estimate, "double")("u", "v").alias("j"))
     estimated = written(scored.groupBy("a", "b").agg(F.max("j").alias("j")), "estimated")  # a repeated doc_id may have several heads
     hopeful = estimated.filter(F.col("j") >= least).select("a", "b")
 
     ids = hopeful.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    texts = small_batches(docs).filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = Bloom(ids).within(texts, "doc_id").select("doc_id", F.lower("text").alias("text"))
 
     def as_sets(batches):
@@ -204,13 +201,15 @@ def _verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, threshold: fl
 
     sets = written(sets.mapInArrow(as_sets, "doc_id long, hashes binary"), "sets")
 
-    def compare(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for u, v in parts:
-            yield pd.Series([_jaccard(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(u, v)], dtype=float)
+    def compare(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for pair in parts:
+            (u, i), (v, j) = (text_bytes(x) for x in pair)
+            sets = ((u[i[r] : i[r + 1]].view("<u8"), v[j[r] : j[r + 1]].view("<u8")) for r in range(len(pair[0])))
+            yield pa.array([_jaccard(x, y) for x, y in sets], pa.float64())
 
     both = hopeful.join(sets.withColumnsRenamed({"doc_id": "b", "hashes": "v"}).hint("merge"), "b").join(sets.withColumnsRenamed({"doc_id": "a", "hashes": "u"}).hint("merge"), "a")
     # A repeated doc_id is one document here: the nearest of its texts counts.
-    exact = both.select("a", "b", F.pandas_udf(compare, "double")("u", "v").alias("jaccard")).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+    exact = both.select("a", "b", F.arrow_udf(compare, "double")("u", "v").alias("jaccard")).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
     hopeless = estimated.filter(F.col("j") < least).select("a", "b", F.lit(False).alias("near"), (F.col("j") + error).alias("jaccard"))
     return written(exact.select("a", "b", (F.col("jaccard") >= threshold).alias("near"), "jaccard").unionByName(hopeless), "tried")
 

@@ -7,8 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.layout import spread
-from .common import TOKENIZER_DIR, chunks, encoder, text_bytes, written
+from .common import TOKENIZER_DIR, chunks, encoder, small_batches, text_bytes, written
 
 
 class CapacityTree:
@@ -104,7 +103,7 @@ def token_lengths(docs: DataFrame, tokenizer: str = f"{TOKENIZER_DIR}/byte_bpe_m
                 data, starts = text_bytes(part.column("text"))
                 yield pa.record_batch([part.column("key"), pa.array(encoder(tokenizer).count(data, starts) + 1, pa.int32())], [key, "n_tokens"])
 
-    return spread(docs).select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(count, schema)
+    return small_batches(docs).select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(count, schema)
 
 
 def token_pieces(docs: DataFrame, window: int, tokenizer: str = f"{TOKENIZER_DIR}/byte_bpe_multi_50k.tiktoken", key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -131,7 +130,7 @@ def token_pieces(docs: DataFrame, window: int, tokenizer: str = f"{TOKENIZER_DIR
                     mine = slice(low, low + PIECES)
                     yield pa.record_batch([part.column("key").take(pa.array(of[mine])), pa.array(start[mine]), pa.array(size[mine]), flat.slice(low, PIECES)], ["k", "start", "len", "ids"])
 
-    return spread(docs).select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(cut, schema)
+    return small_batches(docs).select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(cut, schema)
 
 
 #: Pieces of an Arrow batch, and about as many of one length as a task ranks at once.

@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.layout import spread
-from .common import SpanHash, chunks, equal_spans, text_bytes, words, written
+from .common import SpanHash, chunks, equal_spans, small_batches, text_bytes, words, written
 
 K1, B = 1.2, 0.75
 #: Partial scores are sums of doubles in any order: cutoffs are lowered by this much.
@@ -65,7 +64,7 @@ def postings(docs: DataFrame, vocabulary: list[str], nodes: int, key: str = "doc
                     lists = [pa.ListArray.from_arrays(ends_, pa.array(x[mine].astype(np.int32))) for x in (term, tf)]
                     yield pa.record_batch([pa.array(np.full(len(d), node, np.int32)), keys.take(pa.array(d)), pa.array(n[d].astype(np.int64)), *lists], schema=schema)
 
-    rows = spread(docs).filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.lower(F.col(text)).alias("text"))
+    rows = small_batches(docs).filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.lower(F.col(text)).alias("text"))
     return rows.mapInArrow(index, "node int, doc_id long, dl long, terms array<int>, tfs array<int>")
 
 
