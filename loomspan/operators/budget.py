@@ -27,7 +27,8 @@ def greedy_budget(
     Available are max_tokens - system - response. Again and again the chunk is taken that fits and has the greatest
     score + (diversity if its file has none yet) + 0.1 * score / tokens; ties go to the lower ord. With priority files,
     their chunks by score come first, up to 60 % of what is available. The choice depends on what was chosen, so it runs
-    in one task over the best `candidates` of the list, which retrieval has cut anyway.
+    in one task over the best `candidates` of the list, which retrieval has cut anyway, and of the priority files over as
+    many more as could fit.
     """
     available = max_tokens - system - response
     wanted = set(priority or [])
@@ -73,6 +74,9 @@ def greedy_budget(
         yield out
 
     cut = chunks.orderBy(F.desc("score"), "ord").limit(candidates)
+    if wanted:  # each chunk costs a token at least: no more of them fit
+        first = chunks.filter(F.col("file_path").isin(sorted(wanted)) & (F.col("token_count") > 0)).orderBy(F.desc("score"), "ord").limit(max(available, 0))
+        cut = chunks.filter(~F.col("file_path").isin(sorted(wanted)) | F.col("file_path").isNull()).orderBy(F.desc("score"), "ord").limit(candidates).unionByName(first)
     return cut.coalesce(1).mapInPandas(choose, T.StructType([*chunks.schema.fields, T.StructField("pick", T.IntegerType())]))
 
 

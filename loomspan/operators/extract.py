@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -308,7 +309,8 @@ def boundaries(lines: list[str]) -> list[int]:
 
 def cast_chunks_of(path: str, content: str, lang: str | None) -> list[dict]:
     """Syntax chunks: nodes are symbols with their comments and the text between; those above 1600 characters (white space not
-    counted) are broken at boundaries, then by size; neighbours are merged up to 1200; what stays below 160 is dropped."""
+    counted) are broken at boundaries, then by size; neighbours are merged up to 1200; parts of broken nodes that stay below
+    160 are dropped, whole nodes never are."""
     lines, imps, syms = content.split("\n"), imports_of(path, content, lang), [s for s in symbols_of(path, content, lang) if not s["parent"]]
     spans, at = [], 1
     for s in sorted(syms, key=lambda s: s["line"]):
@@ -321,11 +323,12 @@ def cast_chunks_of(path: str, content: str, lang: str | None) -> list[dict]:
         at = b + 1
     if at <= len(lines):
         spans.append((at, len(lines), "mixed", []))
-    ink = lambda a, b: _ink("\n".join(lines[a - 1 : b]))
+    upto = [0, *itertools.accumulate(map(_ink, lines))]
+    ink = lambda a, b: upto[b] - upto[a - 1]
     broken = []
     for a, b, kind, names in spans:
         if ink(a, b) <= CAST_MAX:
-            broken.append((a, b, kind, names))
+            broken.append((a, b, kind, names, False))
             continue
         cuts = [a - 1 + c for c in boundaries(lines[a - 1 : b]) if c > 1]
         low = a
@@ -336,16 +339,16 @@ def cast_chunks_of(path: str, content: str, lang: str | None) -> list[dict]:
             inner = [c for c in cuts if low < c <= high]
             if high < b and inner:
                 high = inner[-1] - 1
-            broken.append((low, high, kind, names))
+            broken.append((low, high, kind, names, True))
             low = high + 1
     merged: list[tuple] = []
-    for a, b, kind, names in broken:
+    for a, b, kind, names, part in broken:
         if merged and merged[-1][1] + 1 == a and ink(merged[-1][0], b) <= CAST_BEST:
             x = merged[-1]
-            merged[-1] = (x[0], b, x[2] if x[2] == kind else "mixed", list(dict.fromkeys(x[3] + names)))
+            merged[-1] = (x[0], b, x[2] if x[2] == kind else "mixed", list(dict.fromkeys(x[3] + names)), x[4] and part)
         else:
-            merged.append((a, b, kind, names))
-    return [_chunk(path, lines, a, b, kind, names, imps) for a, b, kind, names in merged if ink(a, b) >= CAST_MIN]
+            merged.append((a, b, kind, names, part))
+    return [_chunk(path, lines, a, b, kind, names, imps) for a, b, kind, names, part in merged if ink(a, b) and (not part or ink(a, b) >= CAST_MIN)]
 
 
 def line_chunks(files: DataFrame) -> DataFrame:
@@ -431,7 +434,7 @@ def api_entries_of(library: str, version: str, text: str, most: int = 500) -> li
 
 
 def api_entries(declarations: DataFrame) -> DataFrame:
-    """declarations: library, version, content."""
+    """declarations: library, version, content. Of each file the first 500 entries, kind by kind."""
     names = "library version name type signature description params returns deprecated since examples".split()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

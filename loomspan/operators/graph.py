@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +30,27 @@ def cut(df: DataFrame) -> DataFrame:
     """Ends lineage: a Parquet table in the shared folder, so that loops don't grow plans and lost executors don't matter."""
     path = f"{shared_folder(df.sparkSession)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+def _forget() -> None:
+    """What was written goes when the program ends."""
+    for spark, path in _made:
+        try:
+            jvm = spark.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001 - the session may be gone by then
+            return
+
+
+atexit.register(_forget)
+
+
 def node_id(kind: Column, path: Column, name: Column, line: Column) -> Column:
     return F.when(kind == "file", F.concat(F.lit("file:"), path)).when(kind == "module", F.concat(F.lit("module:"), name)).when(kind == "placeholder", F.concat(F.lit("type:"), name)).otherwise(F.concat_ws(":", kind, path, name, line.cast("string")))
 
@@ -245,20 +266,29 @@ def _pairs(edges: DataFrame, direction: str) -> DataFrame:
     return {"outgoing": out, "incoming": back, "both": out.unionByName(back)}[direction]
 
 
+#: Hops of one job.
+HOPS = 4
+
+
 def khop(pairs: DataFrame, seeds: DataFrame, depth: int | None, stop: str | None = None) -> DataFrame:
-    """(id, depth): breadth first from the seeds over (from, to). Each round joins the frontier with the edges and leaves out
-    what was reached; what is kept is written, so the plan doesn't grow."""
+    """(id, depth): breadth first from the seeds over (from, to). Each job follows HOPS edges from its frontier, keeping the
+    least depth of each node, and leaves out what was reached before; what is new is written, and its deepest nodes are the
+    next frontier. The plan grows by a table read for each job."""
     pairs = cut(pairs.filter(F.col("from") != F.col("to")).distinct())
     frontier = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     reached, at = frontier, 0
     while depth is None or at < depth:
-        at += 1
-        new = pairs.join(frontier.select(F.col("id").alias("from")), "from").select(F.col("to").alias("id")).distinct()
-        frontier = cut(new.join(reached.select("id"), "id", "left_anti").withColumn("depth", F.lit(at)))
-        if frontier.isEmpty():
-            break
-        reached = reached.unionByName(frontier)
-        if stop is not None and not frontier.filter(F.col("id") == stop).isEmpty():
+        hops = HOPS if depth is None else min(HOPS, depth - at)
+        state = frontier.select("id", "depth")
+        for _ in range(hops):
+            here, there = F.struct("id", "depth"), F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("id"), (F.col("depth") + 1).alias("depth")))
+            stepped = state.join(pairs, F.col("id") == F.col("from"), "left").select(F.explode(F.array_compact(F.array(here, there))).alias("x"))
+            state = stepped.groupBy("x.id").agg(F.min("x.depth").alias("depth"))
+        at += hops
+        new = cut(state.join(reached.select("id"), "id", "left_anti"))
+        frontier = new.filter(F.col("depth") == at)
+        reached = reached.unionByName(new)
+        if frontier.isEmpty() or stop is not None and not new.filter(F.col("id") == stop).isEmpty():
             break
     return reached
 
@@ -279,19 +309,82 @@ def shortest_path(pairs: DataFrame, a: str, b: str, most: int = 10) -> DataFrame
     return spark.createDataFrame([], "path array<string>")
 
 
-def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(id, scc): strongly connected components, named by a member, by forward and backward colouring.
-
-    In each round the least id spreads forward along edges until nothing changes (colours); within each colour, the nodes
-    from which its root can be reached backward are one component. They are taken out, and the rest goes round again.
+#: With so many edges at most, one task finds the components.
+LOCAL_EDGES = 200_000
+
+
+def _tarjan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(id, scc) by depth-first search; each component is named by its least member."""
+    following: dict[str, list[str]] = {}
+    for f in frames:
+        for a, b in zip(f["source"], f["target"]):
+            following.setdefault(a, []).append(b)
+            following.setdefault(b, [])
+    index, low, on, stack, out = {}, {}, set(), [], []
+    for root in sorted(following):
+        if root in index:
+            continue
+        path = [(root, iter(following[root]))]
+        index[root] = low[root] = len(index)
+        stack.append(root)
+        on.add(root)
+        while path:
+            v, more = path[-1]
+            for w in more:
+                if w not in index:
+                    index[w] = low[w] = len(index)
+                    stack.append(w)
+                    on.add(w)
+                    path.append((w, iter(following[w])))
+                    break
+                if w in on:
+                    low[v] = min(low[v], index[w])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[v])
+                if low[v] == index[v]:
+                    members = []
+                    while True:
+                        members.append(stack.pop())
+                        on.discard(members[-1])
+                        if members[-1] == v:
+                            break
+                    out += [(m, min(members)) for m in members]
+    yield pd.DataFrame(out, columns=["id", "scc"])
+
+
+def strong_components(edges: DataFrame, nodes: DataFrame | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(id, scc): strongly connected components, named by a member.
+
+    Up to `local_edges` edges one task finds them by depth-first search. Beyond, by forward and backward colouring: in each
+    round nodes without an edge in or out are taken out as components of their own; then the least id spreads forward along
+    edges until nothing changes (colours); within each colour, the nodes from which its root can be reached backward are
+    one component. They are taken out, and the rest goes round again.
     """
     edges = cut(edges.select("source", "target").distinct())
+    if edges.limit(local_edges + 1).count() <= local_edges:
+        found = edges.coalesce(1).mapInPandas(_tarjan, "id string, scc string")
+        if nodes is None:
+            return found
+        return nodes.select("id").distinct().join(found, "id", "full_outer").select("id", F.coalesce("scc", "id").alias("scc"))
     left = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
     every = left if nodes is None else left.unionByName(nodes.select("id")).distinct()
     done = None
     left = cut(left)
     while not left.isEmpty():
-        # trim: nodes without an edge in or out are components of their own
+        while True:  # nodes without an edge in or out
+            ends = edges.filter("source <> target")
+            both = ends.select(F.col("source").alias("id")).intersect(ends.select(F.col("target").alias("id")))
+            alone = cut(left.join(both, "id", "left_anti"))
+            if alone.isEmpty():
+                break
+            alone_ = alone.select("id", F.col("id").alias("scc"))
+            done = alone_ if done is None else done.unionByName(alone_)
+            left = cut(left.join(alone, "id", "left_anti"))
+            edges = cut(edges.join(left.withColumnRenamed("id", "source"), "source", "left_semi").join(left.withColumnRenamed("id", "target"), "target", "left_semi"))
+        if left.isEmpty():
+            break
         colours = cut(left.withColumn("colour", F.col("id")))
         while True:
             spread = edges.join(colours.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.min("colour").alias("new"))
@@ -388,13 +481,18 @@ def base_type(c: Column) -> Column:
 
 
 def usage_stats(symbols: DataFrame, calls: DataFrame, type_refs: DataFrame) -> DataFrame:
-    """(name, calls, type_uses, instantiations, files): how each symbol is used."""
+    """(name, calls, type_uses, instantiations, files, dependents, dependencies): how each symbol is used. Dependents are
+    symbols that call it, dependencies those that it calls."""
     called = calls.select(F.substring_index("callee", ".", -1).alias("name"), "file_path", F.lit("calls").alias("w"))
     made = instantiations(calls, symbols).select(F.col("callee").alias("name"), "file_path", F.lit("instantiations").alias("w"))
     typed = type_refs.select(base_type(F.col("type_name")).alias("name"), "file_path", F.lit("type_uses").alias("w"))
     used = called.unionByName(made).unionByName(typed)
     counts = [F.count_if(F.col("w") == w).alias(w) for w in ("calls", "type_uses", "instantiations")]
-    return symbols.select("name").distinct().join(used.groupBy("name").agg(*counts, F.countDistinct("file_path").alias("files")), "name", "left").fillna(0)
+    pair = calls.filter("caller is not null").select("caller", F.substring_index("callee", ".", -1).alias("callee")).filter("caller <> callee")
+    into = pair.groupBy(F.col("callee").alias("name")).agg(F.countDistinct("caller").alias("dependents"))
+    out = pair.groupBy(F.col("caller").alias("name")).agg(F.countDistinct("callee").alias("dependencies"))
+    rows = symbols.select("name").distinct().join(used.groupBy("name").agg(*counts, F.countDistinct("file_path").alias("files")), "name", "left")
+    return rows.join(into, "name", "left").join(out, "name", "left").fillna(0)
 
 
 def call_graph(calls: DataFrame) -> DataFrame:

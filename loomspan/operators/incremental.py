@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import dirname, normalize_path
+from ..functions.text import basename, dirname, extname, normalize_path
 from .graph import khop
 
 SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".py", "/index.ts", "/index.js", "/__init__.py")
@@ -78,6 +78,21 @@ def language_stats(files: DataFrame, symbols: DataFrame) -> DataFrame:
     return files.join(n, "path", "left").groupBy("language").agg(F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("symbols"))
 
 
+def kind_counts(symbols: DataFrame) -> DataFrame:
+    """(kind, n), the commonest first."""
+    return symbols.groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind")
+
+
+def folders(files: DataFrame) -> DataFrame:
+    """(folder, files, first, extension): files by folder, with the first name and the last extension."""
+    return files.groupBy(dirname("path").alias("folder")).agg(F.count("*").alias("files"), F.min(basename("path")).alias("first"), F.max(extname("path")).alias("extension"))
+
+
+def by_source(edges: DataFrame) -> DataFrame:
+    """(path, imports): what each file imports."""
+    return edges.groupBy(F.col("from").alias("path")).agg(F.sort_array(F.collect_set("to")).alias("imports"))
+
+
 def file_importance(edges: DataFrame, symbols: DataFrame, k: int = 20) -> DataFrame:
     """(path, score): twice the importers plus exported symbols; the k greatest."""
     importers = edges.groupBy(F.col("to").alias("path")).agg((2 * F.count("*")).alias("s"))

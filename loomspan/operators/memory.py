@@ -5,7 +5,7 @@ queries: id, session_id, ord, ts, question, response, files (list), symbols (lis
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: One topic for each concern: the first of its words that a text holds.
@@ -89,6 +89,43 @@ def merge_summaries(old: DataFrame, new: DataFrame, original: DataFrame, by: str
     return rows.withColumn("compression_ratio", _summary_size() / (F.col("original") + 1000)).drop("original")
 
 
+def summaries_between(summaries: DataFrame, start, end) -> DataFrame:
+    """Summaries generated from start to end, both within, newest first."""
+    return summaries.filter(F.col("generated_at").between(F.lit(start), F.lit(end))).orderBy(F.desc("generated_at"), "session_id")
+
+
+class Sessions:
+    """Sessions (session_id, started_at, ended_at) and their queries as tables; what changes gives new tables."""
+
+    def __init__(self, sessions: DataFrame, queries: DataFrame):
+        self.sessions, self.queries = sessions, queries
+
+    def create(self, session: str, now: Column) -> Sessions:
+        """A new session; those that are open end."""
+        new = self.sessions.sparkSession.range(1).select(F.lit(session).alias("session_id"), now.alias("started_at"), F.lit(None).cast("timestamp").alias("ended_at"))
+        return Sessions(self.end(now).sessions.unionByName(new), self.queries)
+
+    def current(self) -> DataFrame:
+        return self.sessions.filter("ended_at is null").orderBy(F.desc("started_at"), "session_id").limit(1)
+
+    def end(self, now: Column) -> Sessions:
+        return Sessions(self.sessions.withColumn("ended_at", F.coalesce("ended_at", now)), self.queries)
+
+    def append(self, rows: DataFrame) -> Sessions:
+        """Queries of known sessions, which replace those of their id; others are left out."""
+        mine = rows.join(self.sessions.select("session_id"), "session_id", "left_semi")
+        return Sessions(self.sessions, self.queries.join(mine.select("id"), "id", "left_anti").unionByName(mine, allowMissingColumns=True))
+
+    def save(self, path: str) -> None:
+        for name in ("sessions", "queries"):
+            getattr(self, name).write.mode("overwrite").option("compression", "gzip").json(f"{path}/{name}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, queries: str) -> Sessions:
+        """queries: the schema of the queries' table."""
+        return cls(spark.read.schema("session_id string, started_at timestamp, ended_at timestamp").json(f"{path}/sessions"), spark.read.schema(queries).json(f"{path}/queries"))
+
+
 def search(queries: DataFrame, text: str, limit: int = 50, start=None, end=None, files: list[str] | None = None, symbols: list[str] | None = None, in_questions: bool = True, in_responses: bool = True) -> DataFrame:
     """Rows with `score`: 2 for the question, 1 for the response, 1 for a symbol (a predicate where the text is empty). The
     first `limit` matches in session order are taken, then sorted by score."""

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.text import bm25_count, bm25_length, bm25_normal, bm25_tokens, embedding_tokens
+from .graph import cut
 from .layout import spread
 
 
 @dataclass
 class InvertedIndex:
-    """postings (term, id, tf) and lengths (id, len); what depends on the corpus is derived when it is asked for."""
+    """postings (term, id, tf, len) and lengths (id, len); what depends on the corpus is derived when it is asked for."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -23,7 +27,7 @@ class InvertedIndex:
     @classmethod
     def build(cls, docs: DataFrame, key: str = "id", content: str = "content") -> InvertedIndex:
         tokens = spread(docs.select(key, content)).select(F.col(key).alias("id"), F.coalesce(bm25_tokens(content), F.array().cast("array<string>")).alias("tokens"))
-        postings = tokens.select("id", F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+        postings = tokens.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
         return cls(postings, tokens.select("id", F.size("tokens").alias("len")))
 
     def add(self, docs: DataFrame, key: str = "id", content: str = "content") -> InvertedIndex:
@@ -48,19 +52,24 @@ class InvertedIndex:
         """(size, mean_length, vocabulary)"""
         return self.lengths.agg(F.count("*").alias("size"), F.avg("len").alias("mean_length")).crossJoin(self.postings.agg(F.countDistinct("term").alias("vocabulary")))
 
-    def search(self, query: str, k: int = 10) -> DataFrame:
-        """(id, score): the k best; a word that the query repeats counts as often; ties go to the lower id."""
+    def search(self, query: str, k: int = 10, within: DataFrame | None = None) -> DataFrame:
+        """(id, score): the k best, of the documents `within` (id) if given; a word that the query repeats counts as often;
+        ties go to the lower id. Only postings of the query's words are counted, shuffled or, if stored, read."""
         spark = self.postings.sparkSession
-        q = spark.range(1).select(F.explode(bm25_tokens(F.lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("qtf"))
-        hits = self.postings.join(F.broadcast(q), "term")  # the words of one query
-        df = hits.groupBy("term").agg(F.count("*").alias("df"))
+        words = query_tokens(spark, query)
+        hits = self.postings.filter(F.col("term").isin(sorted(set(words))))
+        df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row for each word of the query
+        times = F.create_map(*[F.lit(x) for w in sorted(set(words)) for x in (w, words.count(w))])[F.col("term")] if words else F.lit(0)
         corpus = self.lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-        scored = hits.join(F.broadcast(df), "term").join(self.lengths, "id").crossJoin(F.broadcast(corpus))
+        if within is not None:
+            hits = hits.join(within.select("id"), "id", "left_semi")
+        scored = hits.withColumn("qtf", times).join(F.broadcast(df), "term").crossJoin(F.broadcast(corpus))
         term = scoring.bm25_term(scoring.idf(F.col("n"), F.col("df")), F.col("tf"), F.col("len"), F.col("mean"))
         return scored.groupBy("id").agg(F.sum(F.col("qtf") * term).alias("score")).orderBy(F.desc(F.round("score", 6)), "id").limit(k)
 
     def save(self, path: str) -> None:
-        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
+        # Sorted by term: a search reads the row groups of its words alone.
+        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
     @classmethod
@@ -69,8 +78,9 @@ class InvertedIndex:
 
 
 def bm25_search(docs: DataFrame, query: str, k: int = 10, key: str = "id", content: str = "content") -> DataFrame:
-    """(id, score): BM25 over documents without a stored index. No row is shuffled: term counts are taken in each row, corpus
-    counts are one row, and the k best are kept by a bounded heap."""
+    """(id, score): BM25 over documents without a stored index. No row is shuffled: term counts are taken in each row and, narrow
+    as they are, written to the shared folder, so that texts are read once; corpus counts are one row, and the k best are
+    kept by a bounded heap."""
     words: dict[str, int] = {}
     for w in query_tokens(docs.sparkSession, query):
         words[w] = words.get(w, 0) + 1
@@ -80,11 +90,11 @@ def bm25_search(docs: DataFrame, query: str, k: int = 10, key: str = "id", conte
         return empty
     rows = spread(docs.select(key, content)).select(F.col(key).alias("id"), F.coalesce(bm25_normal(content), F.lit(" ")).alias("t"))
     rows = rows.select("id", bm25_length(F.col("t")).alias("len"), *[bm25_count(F.col("t"), w).alias(f"tf{i}") for i, w in enumerate(terms)])
+    rows = cut(rows)
     corpus = rows.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i, w in enumerate(terms):
         score = score + words[w] * scoring.bm25_term(scoring.idf(F.col("n"), F.col(f"df{i}")), F.col(f"tf{i}"), F.col("len"), F.col("mean"))
-    # The filter comes after the corpus row is joined: pushed below, it would take each word's count from the text anew.
     scored = rows.crossJoin(F.broadcast(corpus)).select("id", score.alias("score")).filter("score > 0")
     return scored.orderBy(F.desc(F.round("score", 6)), "id").limit(k)
 
@@ -138,12 +148,65 @@ def vector_search(rows: DataFrame, vector: list[float] | DataFrame, k: int = 10,
     return scored.orderBy(F.desc(F.round("score", 6)), "id").limit(k)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once: an expression within a lambda is evaluated anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _runs(ordered: Column) -> Column:
+    """(t, n): each value of a sorted array and how often it stands there."""
+    n = F.size(ordered)
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (n > 0) & ((i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))))
+    return _let(starts, lambda s: F.transform(s, lambda a, j: F.struct(F.get(ordered, a).alias("t"), (F.coalesce(F.get(s, j + 1), n) - a).alias("n"))))
+
+
+class EmbeddingProvider(Protocol):
+    """What turns texts into vectors: a name and a model, which cached vectors are kept by, and an expression."""
+
+    name: str
+    model: str
+
+    def embed(self, content: Column) -> Column: ...
+
+
+@dataclass
+class CallbackProvider:
+    """A provider that a host gives: `call` takes a list of texts and returns as many vectors. It is called with up to `batch`
+    texts at a time, and in each of Spark's tasks no more than `per_second` times a second."""
+
+    name: str
+    model: str
+    call: Callable[[list[str]], list[list[float]]]
+    batch: int = 50
+    per_second: float | None = None
+
+    def embed(self, content: Column) -> Column:
+        call, batch, wait = self.call, self.batch, 1 / self.per_second if self.per_second else 0.0
+
+        def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            last = 0.0
+            for part in parts:
+                out: list[list[float]] = []
+                for low in range(0, len(part), batch):
+                    time.sleep(max(0.0, last + wait - time.monotonic()))
+                    last = time.monotonic()
+                    out += call([x or "" for x in part[low : low + batch]])
+                yield pd.Series(out)
+
+        return F.pandas_udf(run, "array<double>")(content)
+
+
 @dataclass
 class TfIdfEmbedder:
     """Vocabulary of the `dimensions` terms with the highest document frequency, fitted once over the corpus."""
 
     vocabulary: list[tuple[str, float]]
     dimensions: int = 512
+    name: str = "local"
+    model: str = "tf-idf"
+
+    def embed(self, content: Column) -> Column:
+        return self.transform(content)
 
     @classmethod
     def fit(cls, docs: DataFrame, content: str = "content", dimensions: int = 512) -> TfIdfEmbedder:
@@ -157,14 +220,18 @@ class TfIdfEmbedder:
         """Counts over the greatest count, times idf, of length 1 (all zeros if no term is known)."""
         tokens = F.coalesce(embedding_tokens(content), F.array().cast("array<string>"))
         known = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(float(i)).alias("i")) for t, i in self.vocabulary])
-        counts = F.transform(known, lambda v: F.size(F.filter(tokens, lambda x: x == v["t"])).cast("double"))
-        every = F.array_distinct(tokens)
-        most = F.array_max(F.transform(every, lambda w: F.size(F.filter(tokens, lambda x: x == w))))
-        raw = F.zip_with(counts, known, lambda c, v: F.coalesce(F.try_divide(c, most.cast("double")), F.lit(0.0)) * v["i"])
+        raw = _let(F.array_sort(tokens), lambda o: _let(_runs(o), lambda runs: _let(F.map_from_entries(runs), lambda held: _let(
+            F.array_max(F.transform(runs, lambda r: r["n"])).cast("double"),
+            lambda most: F.transform(known, lambda v: F.coalesce(F.try_divide(F.try_element_at(held, v["t"]).cast("double"), most), F.lit(0.0)) * v["i"]),
+        ))))
         padded = F.concat(raw, F.array_repeat(F.lit(0.0), self.dimensions - len(self.vocabulary))) if self.vocabulary else F.array_repeat(F.lit(0.0), self.dimensions)
         return scoring.l2_normalize(padded)
 
 
+def cache_key(content: Column, provider: EmbeddingProvider) -> Column:
+    return F.concat_ws(":", F.lit(provider.name), F.lit(provider.model), F.sha2(content, 256))
+
+
 def embed_missing(chunks: DataFrame, cache: DataFrame, embed: Callable[[DataFrame], DataFrame], provider: str = "local", model: str = "tf-idf") -> DataFrame:
     """(cache key, embedding) of all chunks: those whose content the cache knows from there, the others embedded once."""
     key = F.concat_ws(":", F.lit(provider), F.lit(model), F.sha2("content", 256))
@@ -200,6 +267,12 @@ def hybrid_search(sparse: DataFrame, dense: DataFrame, limit: int = 10, weights:
     return rows.filter(F.col("score") / top >= min_score).orderBy(F.desc("score"), "id").limit(limit)
 
 
+def kept_after(top: DataFrame, attributes: DataFrame, where: Column, limit: int) -> DataFrame:
+    """The rows of a cut list (id, score) that hold a condition on their attributes (id, ...): the filter comes after the cut,
+    and may leave fewer than `limit`."""
+    return top.join(attributes, "id").filter(where).orderBy(F.desc("score"), "id").limit(limit)
+
+
 def fetch_size(limit: int) -> int:
     """How many of each list a fused search of `limit` takes."""
     return min(3 * limit, 100)

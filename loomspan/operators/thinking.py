@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,10 +44,36 @@ def descendants(thoughts: DataFrame, thought: str) -> DataFrame:
 
 
 def tree_stats(thoughts: DataFrame) -> DataFrame:
-    """(session_id, thoughts, revisions, branches, by_type)"""
+    """(session_id, thoughts, revisions, branches, max_depth, by_type). Thoughts of a branch follow each other, so its depth is
+    their number, and one more than its point's for each branch (parent_id of its first, if there is that column)."""
     kinds = thoughts.groupBy("session_id", "type").agg(F.count("*").alias("n")).groupBy("session_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "n")))).alias("by_type"))
     whole = thoughts.groupBy("session_id").agg(F.count("*").alias("thoughts"), F.count_if(F.col("revises").isNotNull()).alias("revisions"), F.countDistinct("branch").alias("branches"))
-    return whole.join(kinds, "session_id")
+    place = F.row_number().over(Window.partitionBy("session_id", "branch").orderBy("number")) - 1
+    rows = thoughts.withColumn("__at", place).select("session_id", "branch", "id", "__at", *([] if "parent_id" not in thoughts.columns else ["parent_id"]))
+    if "parent_id" in thoughts.columns:  # branches start from main
+        first = rows.filter((F.col("__at") == 0) & F.col("parent_id").isNotNull()).select("session_id", "branch", F.col("parent_id").alias("id"))
+        base = first.join(rows.select("session_id", "id", F.col("__at").alias("__p")), ["session_id", "id"]).select("session_id", "branch", (F.col("__p") + 1).alias("__base"))
+        rows = rows.join(base, ["session_id", "branch"], "left").withColumn("__at", F.col("__at") + F.coalesce("__base", F.lit(0)))
+    return whole.join(rows.groupBy("session_id").agg(F.max("__at").alias("max_depth")), "session_id").join(kinds, "session_id")
+
+
+def with_context(thoughts: DataFrame, retriever: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Adds `context`: what the host's retriever, a function of (id, content) rows to (id, context), finds for each thought."""
+    return thoughts.join(retriever(thoughts.select("id", "content")), "id", "left")
+
+
+def switched(thoughts: DataFrame, session: str, branch: str) -> DataFrame:
+    """The thoughts of the branch that a session goes on in; ValueError if it has none of that name."""
+    rows = thoughts.filter((F.col("session_id") == session) & (F.col("branch") == branch))
+    if rows.isEmpty():
+        raise ValueError(f"there is no branch {branch}")
+    return rows
+
+
+def find(thoughts: DataFrame, text: str = "", kind: str | None = None) -> DataFrame:
+    """Thoughts that hold a text, of a type if given."""
+    rows = thoughts.filter(F.lower("content").contains(text.lower()))
+    return rows if kind is None else rows.filter(F.col("type") == kind)
 
 
 def confidence(thoughts: DataFrame, by: list[str], order: list[str], value: str = "confidence") -> DataFrame:

@@ -101,10 +101,10 @@ _IDENT = "concat('get', replace(p_name, ' ', 'Of'), 'XMLHttp', p_size)"
 _SPLIT = "list_filter(string_split(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '([[:upper:]]+)([[:upper:]][[:lower:]])', '\\1 \\2', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g')), ' '), lambda w: w <> '')"
 
 
-@query(f"select p_partkey, array_to_string({_SPLIT.format(_IDENT)}, ' ') as words, array_to_string({_SPLIT.format(_IDENT)}, '_') as snake, array_to_string({_SPLIT.format(_IDENT)}, '-') as kebab from part where p_name not like '%#%'")
+@query(f"select p_partkey, array_to_string({_SPLIT.format(_IDENT)}, ' ') as words, array_to_string({_SPLIT.format(_IDENT)}, '_') as snake, array_to_string({_SPLIT.format(_IDENT)}, '-') as kebab from part")
 def identifier_split(spark, sf):
     name = F.concat(F.lit("get"), F.replace("p_name", F.lit(" "), F.lit("Of")), F.lit("XMLHttp"), F.col("p_size").cast("string"))
-    return t(spark, sf, "part").filter(~F.col("p_name").contains("#")).select("p_partkey", F.array_join(tx.split_camel(name), " ").alias("words"), tx.snake_case(name).alias("snake"), tx.kebab_case(name).alias("kebab"))
+    return t(spark, sf, "part").select("p_partkey", F.array_join(tx.split_camel(name), " ").alias("words"), tx.snake_case(name).alias("snake"), tx.kebab_case(name).alias("kebab"))
 
 
 @query("""select source, sum(cast(ceil(length(text) / 4.0) as integer)) as tokens, sum(length(text) - length(replace(text, chr(10), ''))) as newlines, sum(length(regexp_replace(text, '[ \\t\\n\\r\\f\\x0b]', '', 'g'))) as ink,
@@ -137,8 +137,8 @@ def vector_topk_filtered(spark, sf):
 @query(f"with {_Q}, c as (select vec_id as id, label, round({_COS}, 6) as score from embeddings, probe order by 3 desc, 1 limit 40) select id, score from c where label = 2 order by score desc, id limit 20")
 def overfetch_then_filter(spark, sf):
     e = t(spark, sf, "embeddings")
-    top = retrieval.vector_search(e, _probe(spark, sf), 40, "vec_id")  # the filter comes after the cut, and may leave fewer
-    return top.join(e.select(F.col("vec_id").alias("id"), "label"), "id").filter("label = 2").orderBy(F.desc("score"), "id").limit(20).select("id", F.round("score", 6).alias("score"))
+    top = retrieval.vector_search(e, _probe(spark, sf), 40, "vec_id")
+    return retrieval.kept_after(top, e.select(F.col("vec_id").alias("id"), "label"), F.col("label") == 2, 20).select("id", F.round("score", 6).alias("score"))
 
 
 @query("""with d as (select list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda w: len(w) > 1 and len(w) < 50)) as tok from documents),
@@ -214,7 +214,8 @@ def retrieve_context(spark, sf):
 
 
 def world(spark, sf) -> graph.Graph:
-    """region -> nation -> customer as containment, customer -> nation -> region as inheritance, nation -> nation by trade as calls."""
+    """Customer -> nation -> region as inheritance; nation -> nation as calls, by the number of all items traded: pairs where it is
+    1 modulo 4, and back to a lower nation where it is 1 modulo 64."""
     r, n, c, s = (t(spark, sf, x) for x in ("region", "nation", "customer", "supplier"))
     rid, nid, cid = (F.concat(F.lit(p), F.col(k).cast("string")) for p, k in (("r", "r_regionkey"), ("n", "n_nationkey"), ("c", "c_custkey")))
     node = lambda df, i, kind, name: df.select(i.alias("id"), F.lit(kind).alias("type"), F.col(name).alias("name"), F.lit(None).cast("string").alias("file_path"), F.lit(None).cast("int").alias("line"), F.lit(True).alias("exported"))
@@ -222,15 +223,16 @@ def world(spark, sf) -> graph.Graph:
     up = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
     edges = n.select(nid.alias("source"), up("r", "n_regionkey").alias("target"), F.lit("implements").alias("type"))
     edges = edges.unionByName(c.select(cid.alias("source"), up("n", "c_nationkey").alias("target"), F.lit("extends").alias("type")))
-    o, li = t(spark, sf, "orders").select("o_orderkey", "o_custkey"), t(spark, sf, "lineitem").filter("l_orderkey % 1999 = 7").select("l_orderkey", "l_suppkey")
+    o, li = t(spark, sf, "orders").select("o_orderkey", "o_custkey"), t(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
     trade = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    calls = trade.select(up("n", "c_nationkey").alias("source"), up("n", "s_nationkey").alias("target"), F.lit("calls").alias("type")).distinct()
+    traded = trade.groupBy("c_nationkey", "s_nationkey").agg(F.count("*").alias("n")).filter(F.when(F.col("c_nationkey") < F.col("s_nationkey"), F.col("n") % 4).otherwise(F.col("n") % 64) == 1)
+    calls = traded.select(up("n", "c_nationkey").alias("source"), up("n", "s_nationkey").alias("target"), F.lit("calls").alias("type"))
     edges = edges.unionByName(calls).withColumn("id", graph.edge_id(F.col("source"), F.col("target"), F.col("type")))
     return graph.Graph(nodes, graph.cut(edges))
 
 
 _W = """nodes as (select 'r' || r_regionkey as id, 'interface' as type, r_name as name from region union all select 'n' || n_nationkey, 'class', n_name from nation union all select 'c' || c_custkey, 'function', c_name from customer),
-calls as (select distinct 'n' || c_nationkey as source, 'n' || s_nationkey as target from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where l_orderkey % 1999 = 7),
+calls as (select 'n' || c_nationkey as source, 'n' || s_nationkey as target from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey group by c_nationkey, s_nationkey having case when c_nationkey < s_nationkey then count(*) % 4 else count(*) % 64 end = 1),
 edges as (select 'n' || n_nationkey as source, 'r' || n_regionkey as target, 'implements' as type from nation union all select 'c' || c_custkey, 'n' || c_nationkey, 'extends' from customer union all select source, target, 'calls' from calls)"""
 _BOTH = "both_ways as (select source as a, target as b from edges union all select target, source from edges)"
 
@@ -314,13 +316,12 @@ def orphans(spark, sf):
 def callers(spark, sf):
     g = world(spark, sf)
     top = g.edges.filter("type = 'calls'").groupBy("target").count().orderBy(F.desc("count"), "target").limit(1).select("target")
-    ids = g.edges.filter("type = 'calls'").join(F.broadcast(top), "target", "left_semi").select(F.col("source").alias("id")).distinct()
-    return g.nodes.join(ids, "id").select("id", "name")
+    return g.callers(top.head().target).select("id", "name")
 
 
-@query(f"with {_W} select id, type, name from nodes where type = 'class' and regexp_matches(name, '^[A-I]') and contains(lower(name), 'i')")
+@query(f"with {_W} select id, type, name from nodes where type = 'class' and regexp_matches(name, '^[A-N].*_1') and contains(lower(name), 'i')")
 def find_nodes(spark, sf):
-    return world(spark, sf).find(kind="class", name="I", pattern="^[A-I]").select("id", "type", "name")
+    return world(spark, sf).find(kind="class", name="I", pattern="^[A-N].*_1").select("id", "type", "name")
 
 
 @query(f"with {_W}, keep as (select id from nodes where type in ('class', 'interface')) select source, target, type from edges where source in (select id from keep) and target in (select id from keep)")
@@ -394,12 +395,12 @@ def language_stats(spark, sf):
 
 @query("select l_returnflag || l_linestatus as kind, count(*) as n from lineitem group by 1 order by n desc")
 def kind_counts(spark, sf):
-    return t(spark, sf, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("kind")).agg(F.count("*").alias("n")).orderBy(F.desc("n"))
+    return incremental.kind_counts(t(spark, sf, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("kind")))
 
 
 @query("with x as (select 'src/' || source || '/doc' || doc_id || '.ts' as path from documents) select regexp_extract(path, '^(.*)/[^/]*$', 1) as folder, count(*) as files, min(regexp_extract(path, '[^/]*$')) as first, max(regexp_extract(path, '\\.[^.]*$')) as extension from x group by 1")
 def files_by_folder(spark, sf):
-    return files(spark, sf).groupBy(tx.dirname("path").alias("folder")).agg(F.count("*").alias("files"), F.min(tx.basename("path")).alias("first"), F.max(tx.extname("path")).alias("extension"))
+    return incremental.folders(files(spark, sf))
 
 
 @query("""with x as (select doc_id, 'src/' || source || '/doc' || doc_id || case doc_id % 4 when 0 then '.ts' when 1 then '.py' when 2 then '.min.js' else '.md' end as path from documents)
@@ -557,9 +558,9 @@ def health_summary(spark, sf):
 # --- extraction ---
 
 
-@query("select doc_id, line, text from (select doc_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) as line from documents) where doc_id < 200")
+@query("select doc_id, line, text from (select doc_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) as line from documents)")
 def chunk_lines(spark, sf):
-    return extract.explode_lines(t(spark, sf, "documents").filter("doc_id < 200"), "doc_id", "text").withColumn("line", F.col("line").cast("long"))
+    return extract.explode_lines(t(spark, sf, "documents"), "doc_id", "text").withColumn("line", F.col("line").cast("long"))
 
 
 @query("""with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as line from documents), f as (select *, line - row_number() over (partition by doc_id order by line) as g from l where (line * 7 + doc_id) % 4 <> 0)
@@ -613,28 +614,28 @@ def built_graph(spark, sf):
     return graph.build(extract.symbols(src), extract.imports(src), extract.calls(src), incremental.dependency_edges(incremental.resolve_imports(extract.imports(src), src))).edges
 
 
-@query("""with u as (select 'src' || (l_orderkey % 20) as file_path, 'part' || (l_partkey % 300) as name, l_orderkey, l_linenumber from lineitem where l_orderkey % 50 = 1), s as (select 'src' || (p_partkey % 20) as file_path, 'part' || p_partkey as name, p_partkey as line, 's' || p_partkey as id from part where p_partkey % 3 <> 0 and p_partkey < 250)
+@query("""with u as (select 'src' || (l_orderkey % 20) as file_path, 'part' || (l_partkey % 300) as name, l_orderkey, l_linenumber from lineitem), s as (select 'src' || (p_partkey % 20) as file_path, 'part' || p_partkey as name, p_partkey as line, 's' || p_partkey as id from part where p_partkey % 3 <> 0)
 select u.l_orderkey, u.l_linenumber, u.name, coalesce(a.id, b.id, 'type:' || u.name) as target, coalesce(a.id, b.id) is not null as known from u left join s a on a.file_path = u.file_path and a.name = u.name left join s b on b.name = u.name""")
 def symbol_resolution(spark, sf):
-    u = t(spark, sf, "lineitem").filter("l_orderkey % 50 = 1").select(F.concat(F.lit("src"), (F.col("l_orderkey") % 20).cast("string")).alias("file_path"), F.concat(F.lit("part"), (F.col("l_partkey") % 300).cast("string")).alias("name"), "l_orderkey", "l_linenumber")
-    s = t(spark, sf, "part").filter("p_partkey % 3 <> 0 and p_partkey < 250").select(F.concat(F.lit("src"), (F.col("p_partkey") % 20).cast("string")).alias("file_path"), F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_partkey").alias("line"), F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("id"))
+    u = t(spark, sf, "lineitem").select(F.concat(F.lit("src"), (F.col("l_orderkey") % 20).cast("string")).alias("file_path"), F.concat(F.lit("part"), (F.col("l_partkey") % 300).cast("string")).alias("name"), "l_orderkey", "l_linenumber")
+    s = t(spark, sf, "part").filter("p_partkey % 3 <> 0").select(F.concat(F.lit("src"), (F.col("p_partkey") % 20).cast("string")).alias("file_path"), F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_partkey").alias("line"), F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("id"))
     return graph.resolve(u, s).select("l_orderkey", "l_linenumber", "name", "target", "known")
 
 
-@query("""with cls as (select 'C' || p_partkey as child, 'C' || (p_partkey // 10) as parent from part where p_partkey < 500 and p_partkey >= 10), m as (select 'C' || p_partkey as owner, 'm' || (p_size % 5) as method from part where p_partkey < 500)
+@query("""with cls as (select 'C' || p_partkey as child, 'C' || (p_partkey // 10) as parent from part where p_partkey >= 10), m as (select 'C' || p_partkey as owner, 'm' || (p_size % 5) as method from part)
 select distinct child, parent, a.method from cls join m a on a.owner = child join m b on b.owner = parent and a.method = b.method""")
 def override_join(spark, sf):
-    p = t(spark, sf, "part").filter("p_partkey < 500")
+    p = t(spark, sf, "part")
     name = F.concat(F.lit("C"), F.col("p_partkey").cast("string"))
     c = p.select(name.alias("name"), F.lit("class").alias("kind"), F.lit(None).cast("string").alias("parent"), F.when(F.col("p_partkey") >= 10, F.array(F.concat(F.lit("C"), F.floor(F.col("p_partkey") / 10).cast("string")))).otherwise(F.array().cast("array<string>")).alias("extends"))
     m = p.select(F.concat(F.lit("m"), (F.col("p_size") % 5).cast("string")).alias("name"), F.lit("method").alias("kind"), name.alias("parent"), F.array().cast("array<string>").alias("extends"))
     return graph.overrides(c.unionByName(m))
 
 
-@query("""with s as (select doc_id, generate_series as line from documents, generate_series(1, 30) where doc_id < 100), c as (select doc_id, k * 8 + 1 as a, k * 8 + 8 as b from (select doc_id from documents where doc_id < 100), (select generate_series as k from generate_series(0, 2)))
+@query("""with s as (select doc_id, generate_series as line from documents, generate_series(1, 30)), c as (select doc_id, k * 8 + 1 as a, k * 8 + 8 as b from (select doc_id from documents), (select generate_series as k from generate_series(0, 2)))
 select cast(c.doc_id as varchar) || ':' || a as id, s.line from c join s on s.doc_id = c.doc_id and s.line between a and b""")
 def symbols_in_range(spark, sf):
-    d = t(spark, sf, "documents").filter("doc_id < 100").select(F.col("doc_id").cast("string").alias("file_path"))
+    d = t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file_path"))
     s = d.select("file_path", F.lit("x").alias("name"), F.explode(F.sequence(F.lit(1), F.lit(30))).alias("line"))
     k = d.select("file_path", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
     c = k.select(F.concat("file_path", F.lit(":"), (F.col("k") * 8 + 1).cast("string")).alias("id"), "file_path", (F.col("k") * 8 + 1).alias("start_line"), (F.col("k") * 8 + 8).alias("end_line"))
@@ -778,3 +779,6 @@ def sliding(spark, sf):
 @query("select user_id as path, event_type as type, ts from (select *, row_number() over (partition by user_id order by ts desc) as r from events) where r = 1")
 def latest_changes(spark, sf):
     return streams.latest_per_key(t(spark, sf, "events").select(F.col("user_id").alias("path"), F.col("event_type").alias("type"), "ts"))
+
+
+from . import lookups  # noqa: E402, F401 - adds its queries to QUERIES and SQL

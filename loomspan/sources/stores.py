@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
+import time
+from collections import OrderedDict
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -82,6 +86,59 @@ class CacheTable:
         return self.rows.agg(F.count("*").alias("entries"), F.count_if(now - F.col("cached_at") > F.expr(f"interval {days} days")).alias("expired"))
 
 
+class QueryCache:
+    """Results by name on the driver: plans, or small values. Entries age, the least used go beyond a capacity, and names that a
+    pattern matches, or all, can be dropped. now: a clock in seconds."""
+
+    def __init__(self, capacity: int = 1000, ttl: float = 300.0, now: Callable[[], float] = time.monotonic):
+        self.capacity, self.ttl, self.now = capacity, ttl, now
+        self.entries: OrderedDict[str, tuple[float, object]] = OrderedDict()
+        self.hits = self.misses = 0
+
+    def get(self, name: str):
+        held = self.entries.get(name)
+        if held is None or self.now() - held[0] > self.ttl:
+            self.entries.pop(name, None)
+            self.misses += 1
+            return None
+        self.entries.move_to_end(name)
+        self.hits += 1
+        return held[1]
+
+    def put(self, name: str, value) -> None:
+        self.entries[name] = self.now(), value
+        self.entries.move_to_end(name)
+        while len(self.entries) > self.capacity:
+            self.entries.popitem(last=False)
+
+    def get_or_compute(self, name: str, compute: Callable[[], object]):
+        value = self.get(name)
+        if value is None:
+            value = compute()
+            self.put(name, value)
+        return value
+
+    def invalidate(self, pattern: str | None = None) -> int:
+        """How many entries go: those whose name the regular expression finds something in, or all."""
+        gone = [n for n in self.entries if pattern is None or re.search(pattern, n)]
+        for n in gone:
+            del self.entries[n]
+        return len(gone)
+
+    def invalidate_node(self, node: str) -> int:
+        return self.invalidate(rf"(^|[:|,]){re.escape(node)}($|[:|,])")
+
+    def prune(self) -> int:
+        old = [n for n, (t, _) in self.entries.items() if self.now() - t > self.ttl]
+        for n in old:
+            del self.entries[n]
+        return len(old)
+
+    def stats(self) -> dict:
+        asked = self.hits + self.misses
+        return {"size": len(self.entries), "hits": self.hits, "misses": self.misses, "hit_rate": self.hits / asked if asked else 0.0}
+
+
 def hit_rate(hits: Column, total: Column) -> Column:
     return F.coalesce(F.try_divide(hits, total), F.lit(0.0))
 

@@ -30,7 +30,7 @@ def watched(changes: DataFrame, extensions: list[str], ignore: str | None = None
 def debounced(changes: DataFrame, key: str = "path", column: str = "ts", gap: str = "300 milliseconds") -> DataFrame:
     """(key, start, end, events, last): bursts of changes with less than `gap` between them, and the last change of each; batch or stream."""
     w = F.session_window(column, gap)
-    got = changes.groupBy(F.col(key), w.alias("w")).agg(F.count("*").alias("events"), F.max_by("type", column).alias("last"))
+    got = changes.groupBy(F.col(key), w.alias("w")).agg(F.count("*").alias("events"), F.max_by("type", F.struct(column, "type")).alias("last"))
     return got.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events", "last")
 
 
@@ -48,7 +48,8 @@ def _windowed(events: DataFrame, window, by: list[str], value: str) -> DataFrame
 
 
 def latest_per_key(batch: DataFrame, key: str = "path", column: str = "ts") -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.desc(column))
+    """The last row of each key; of several at one time the greatest by all other columns."""
+    w = Window.partitionBy(key).orderBy(F.desc(column), *[F.desc(c) for c in batch.columns if c not in (key, column)])
     return batch.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from loomspan import config, report
 from loomspan.engine import Engine
-from loomspan.operators import analytics, extract, incremental, library, memory, sharing, thinking
+from loomspan.operators import analytics, extract, graph, incremental, library, memory, retrieval, sharing, thinking
 from loomspan.plans.queries import sources
 from loomspan.sources import adapters, ignore, stores
+from loomspan.sources.adapters import MemorySource
 from loomspan.streaming import streams
 from loomspan.tools import TOOLS, Server
 
@@ -84,7 +85,9 @@ def test_chunks(spark):
     covered = sorted((r.start_line, r.end_line) for r in rows)
     assert covered[0][0] == 1 and any(r.start_line == 3 for r in rows)
     cast = extract.cast_chunks(spark.createDataFrame([("f.ts", long), ("g.ts", None)], "path string, content string")).collect()
-    assert cast and all(160 <= len("".join(r.content.split())) <= 1600 for r in cast)
+    assert cast and all(0 < len("".join(r.content.split())) <= 1600 for r in cast)
+    small = extract.cast_chunks(spark.createDataFrame([("s.ts", "export function f(x) {\n  return x;\n}\n")], "path string, content string")).collect()
+    assert [(r.start_line, r.symbols) for r in small] == [(1, ["f"])]  # a small file isn't lost
 
 
 def test_descriptions_and_entry_points(spark):
@@ -285,3 +288,93 @@ def test_streams(spark, tmp_path):
     assert "x" in seen and "8" in seen
     only = streams.watched(spark.createDataFrame([("a.ts",), ("b.png",), ("node_modules/c.ts",)], "path string"), [".ts"], "^node_modules/")
     assert [r.path for r in only.collect()] == ["a.ts"]
+
+
+def rows_of(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_refresh_equals_a_new_index(spark):
+    """What refresh makes of a changed snapshot is what indexing it from scratch makes; vectors follow."""
+    text = lambda n, extra="": f"import {{ b }} from './b';\nexport class A{n} extends B {{\n  run{n}(x: number): number {{\n    return b(x) + {n};\n  }}\n}}\n{extra}"
+    source = MemorySource(spark)
+    for i in range(6):
+        source.add(f"src/f{i}.ts", text(i))
+    source.add("src/b.ts", "export function b(x: number): number {\n  return x;\n}\n")
+    heard = []
+    e = Engine(spark, source).index(progress=lambda stage, at, of: heard.append((stage, at, of))).embed()
+    exported, first = e.state(), e.generation
+    assert heard[-1] == ("done", 6, 6) and {r.status for r in e.refresh().collect()} == {"cached"} and e.generation == first
+    source.update("src/f1.ts", text(1, "export const NEW = 1;\n"))
+    source.remove("src/f2.ts")
+    source.add("src/f9.ts", text(9))
+    assert {(r.path, r.status) for r in e.restore(exported).collect() if r.status != "cached"} == {("src/f1.ts", "modified"), ("src/f2.ts", "removed"), ("src/f9.ts", "added")}
+    part = e.refresh(["src/f9.ts"])
+    assert [(r.path, r.status) for r in part.collect()] == [("src/f9.ts", "added")] and e.files.count() == 8
+    e.refresh()
+    new = Engine(spark, source).index()
+    for name in ("symbols", "imports", "calls", "chunks", "edges"):
+        assert rows_of(getattr(e, name)) == rows_of(getattr(new, name).select(*getattr(e, name).columns)), name
+    for name in ("nodes", "edges"):
+        assert rows_of(getattr(e.graph, name)) == rows_of(getattr(new.graph, name))
+    assert rows_of(e.inverted.search("return number b", 50)) == rows_of(new.inverted.search("return number b", 50))
+    assert {r.id for r in e.vectors.rows.collect()} == {r.id for r in e.chunks.collect()}
+    assert e.retrieve("number", files=["f9"], mode="bm25").select("file_path").distinct().collect()[0].file_path == "src/f9.ts"
+
+
+def test_saved_vectors_providers_and_cache(spark, tmp_path):
+    source = MemorySource(spark)
+    source.add("a.ts", "export function alpha(x: number): number {\n  return x;\n}\n")
+    source.add("b.ts", "export const beta = 'text of a constant';\n")
+    e = Engine(spark, source).index().embed()
+    e.save(f"file://{tmp_path}/e")
+    again = Engine(spark, source).load(f"file://{tmp_path}/e")
+    assert again.embedder.vocabulary == e.embedder.vocabulary and rows_of(again.vectors.rows) == rows_of(e.vectors.rows)
+    assert rows_of(again.retrieve("alpha number", mode="hybrid").select("id")) == rows_of(e.retrieve("alpha number", mode="hybrid").select("id"))
+    calls = retrieval.CallbackProvider("host", "len", lambda texts: [[float(len(x)), 1.0] for x in texts], batch=1, per_second=1000)
+    known = e.chunks.filter("file_path = 'a.ts'").select(retrieval.cache_key(F.col("content"), calls).alias("cache_key"), F.array(F.lit(-1.0), F.lit(0.0)).alias("embedding"))
+    rows = {r.file_path: list(r.embedding) for r in Engine(spark, source).index().embed(calls, known).vectors.rows.collect()}
+    assert rows["a.ts"] == [-1.0, 0.0] and rows["b.ts"][1] == 1.0 and rows["b.ts"][0] > 10
+    assert Engine.clear(spark, f"file://{tmp_path}/e") and not (tmp_path / "e").exists()
+
+
+def test_query_cache():
+    at = [0.0]
+    c = stores.QueryCache(capacity=2, ttl=10, now=lambda: at[0])
+    assert c.get_or_compute("a|n1", lambda: 1) == 1 and c.get_or_compute("a|n1", lambda: 2) == 1
+    c.put("b|n2", 5)
+    c.get("a|n1")
+    c.put("c|n3,n1", 6)  # the least used goes
+    assert c.get("b|n2") is None and c.stats()["size"] == 2 and c.invalidate_node("n1") == 2 and c.stats()["hits"] == 2 and c.stats()["misses"] == 2
+    c.put("x", 1)
+    at[0] = 11
+    assert c.prune() == 1 and c.get("x") is None and c.invalidate() == 0
+
+
+def test_components_and_hops_against_brute_force(spark):
+    import random
+
+    random.seed(12)
+    edges = {(f"v{random.randint(0, 29)}", f"v{random.randint(0, 29)}") for _ in range(45)}
+    df = spark.createDataFrame(sorted(edges), "source string, target string")
+    ids = sorted({x for e in edges for x in e})
+    reach = {x: {x} for x in ids}
+    for _ in ids:
+        for a, b in edges:
+            for x in ids:
+                if a in reach[x]:
+                    reach[x].add(b)
+    want = {x: min(y for y in ids if y in reach[x] and x in reach[y]) for x in ids}
+    got = {r.id: r.scc for r in graph.strong_components(df).collect()}
+    assert got == want
+    far = {r.id: r.scc for r in graph.strong_components(df, local_edges=0).collect()}  # by colouring
+    assert {frozenset(y for y in ids if far[y] == far[x]) for x in ids} == {frozenset(y for y in ids if want[y] == want[x]) for x in ids}
+    depth, at, d = {ids[0]: 0}, {ids[0]}, 0
+    while at:
+        d += 1
+        at = {b for a, b in edges if a in at} - set(depth)
+        depth |= dict.fromkeys(at, d)
+    pairs = df.select(F.col("source").alias("from"), F.col("target").alias("to"))
+    for most in (None, 0, 1, 5):
+        rows = graph.khop(pairs, spark.createDataFrame([(ids[0],)], "id string"), most).collect()
+        assert {r.id: r.depth for r in rows} == {k: v for k, v in depth.items() if most is None or v <= most} and len(rows) == len({r.id for r in rows})
