@@ -195,7 +195,7 @@ class Engine:
     def restore(self, state_: DataFrame) -> DataFrame:
         """Takes over an exported state (state): its generation, and (path, status) of the source since then."""
         self.generation = state_.head().generation
-        return incremental.snapshot_diff(state_hashes(state_), self.source.list().select("path", "hash").withColumnRenamed("hash", "value"), hash_="value")
+        return incremental.snapshot_diff(state_hashes(state_), self.source.list().select("path", "hash"))
 
     def health(self) -> str:
         row = self.files.agg(F.count("*").alias("n"), F.max("last_modified").alias("t")).select(incremental.health(F.col("n"), F.col("t"), F.current_timestamp()).alias("h")).head()
@@ -208,7 +208,7 @@ class Engine:
         self.inverted.save(f"{path}/inverted")
         if self.vectors is not None and isinstance(self.embedder, retrieval.TfIdfEmbedder):
             self.vectors.save(f"{path}/vectors")
-            self.spark.createDataFrame(self.embedder.vocabulary, "term string, idf double").withColumn("dimensions", F.lit(self.embedder.dimensions)).write.mode("overwrite").parquet(f"{path}/vocabulary")
+            self.spark.createDataFrame([(i, t, w) for i, (t, w) in enumerate(self.embedder.vocabulary)], "place int, term string, idf double").withColumn("dimensions", F.lit(self.embedder.dimensions)).write.mode("overwrite").parquet(f"{path}/vocabulary")
 
     def load(self, path: str) -> Engine:
         for name in ("files", "symbols", "imports", "calls", "chunks", "edges"):
@@ -216,7 +216,7 @@ class Engine:
         self.graph, self.inverted = graph.Graph.load(self.spark, f"{path}/graph"), retrieval.InvertedIndex.load(self.spark, f"{path}/inverted")
         self.embedder, self.vectors, self.ready = None, None, True
         try:
-            rows = self.spark.read.parquet(f"{path}/vocabulary").orderBy(F.monotonically_increasing_id()).collect()
+            rows = self.spark.read.parquet(f"{path}/vocabulary").orderBy("place").collect()
         except AnalysisException:  # it was saved without vectors
             return self
         self.embedder = retrieval.TfIdfEmbedder([(r.term, r.idf) for r in rows], rows[0].dimensions if rows else 512)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import json
+import time
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from urllib.error import HTTPError, URLError
 from urllib.parse import quote
 from urllib.request import Request, urlopen
 
@@ -107,9 +109,26 @@ class MemorySource:
         return self.list().filter(F.col("id").isin(ids))
 
 
+#: Seconds that a service may take, how often it is asked when it fails, and the pause between.
+HTTP_SECONDS, HTTP_TRIES, HTTP_PAUSE = 30, 3, 0.5
+
+
 def _get(url: str, headers: dict[str, str]) -> object:
-    with urlopen(Request(url, headers=headers)) as answer:  # noqa: S310 - the caller names the service
-        return json.loads(answer.read())
+    """The JSON at a URL. KeyError if there is nothing there; failures of the service are tried again."""
+    for left in range(HTTP_TRIES - 1, -1, -1):
+        try:
+            with urlopen(Request(url, headers=headers), timeout=HTTP_SECONDS) as answer:  # noqa: S310 - the caller names the service
+                return json.loads(answer.read())
+        except HTTPError as e:
+            if e.code == 404:
+                raise KeyError(f"no such file: {url}") from e
+            if e.code < 500 or not left:
+                raise
+        except (URLError, TimeoutError):
+            if not left:
+                raise
+        time.sleep(HTTP_PAUSE)
+    raise AssertionError
 
 
 def file_of(item: dict) -> dict:
@@ -135,11 +154,14 @@ class HttpReader(DataSourceReader):
         return json.loads(self.o.get("headers", "{}"))
 
     def partitions(self) -> list[_Page]:
+        n = int(self.o.get("batch", 50))
+        if "ids" in self.o:  # these alone: the service isn't asked for its list
+            ids = json.loads(self.o["ids"])
+            return [_Page(ids[i : i + n]) for i in range(0, len(ids), n)]
         listed = _get(self.o["list"], self._headers())
         items = listed if isinstance(listed, list) else listed.get(self.o.get("items", "files")) or listed.get("tree") or []
         kind = self.o.get("kind")
         ids = [str(i.get("path") or i.get("id")) if isinstance(i, dict) else str(i) for i in items if not kind or not isinstance(i, dict) or i.get("type") == kind]
-        n = int(self.o.get("batch", 50))
         return [_Page(ids[i : i + n]) for i in range(0, len(ids), n)]
 
     def read(self, partition: _Page) -> Iterator[tuple]:
@@ -168,12 +190,16 @@ class HttpSource:
         self.spark, self.options, self.transform = spark, options, transform
 
     def list(self) -> DataFrame:
-        rows = self.spark.read.format("http_files").options(**self.options).load()
+        return self._read({})
+
+    def _read(self, more: dict[str, str]) -> DataFrame:
+        rows = self.spark.read.format("http_files").options(**self.options, **more).load()
         rows = rows if self.transform is None else self.transform(rows)
         return rows.select("id", "path", "content", F.octet_length("content").cast("long").alias("size"), F.current_timestamp().alias("last_modified"), F.sha2("content", 256).alias("hash"), language_of("path").alias("language"))
 
     def fetch(self, ids: list[str]) -> DataFrame:
-        return self.list().filter(F.col("id").isin(ids))
+        """These files alone are asked for; reading fails with a KeyError if one isn't there."""
+        return self._read({"ids": json.dumps(ids)})
 
     def changes(self, since: str) -> DataFrame:
         """The service's own list of changes: (path, status)."""

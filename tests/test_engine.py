@@ -143,6 +143,10 @@ def test_http_source(spark, tmp_path):
     (tmp_path / "a.ts").write_text(json.dumps({"path": "a.ts", "encoding": "base64", "content": base64.b64encode(b"hi").decode()}))
     s = adapters.git_hosting_source(spark, f"file://{tmp_path}/list.json", f"file://{tmp_path}/{{id}}")
     assert [(r.path, r.content, r.language) for r in s.list().collect()] == [("a.ts", "hi", "typescript")]
+    (tmp_path / "list.json").unlink()  # fetching needs no list
+    assert [r.content for r in s.fetch(["a.ts"]).collect()] == ["hi"]
+    with pytest.raises(Exception, match="gone.ts"):
+        s.fetch(["a.ts", "gone.ts"]).collect()
 
 
 def test_memory_source_and_registry(spark):
