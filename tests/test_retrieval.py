@@ -157,3 +157,14 @@ def test_keyword_score(spark):
     d = spark.createDataFrame([("get user", ["getUser", "userName"], True), ("nothing", [], True)], "content string, symbols array<string>, exported boolean")
     got = [r.s for r in d.select(keyword_score("user a", F.col("content"), F.col("symbols"), F.col("exported")).alias("s")).collect()]
     assert got == [1 + 3 + 2 * 2 + 0.5, 0.5]
+
+
+def test_tfidf_tokenizes_a_text_once_and_a_vector_is_normalised_once(spark, docs):
+    embedder = TfIdfEmbedder.fit(docs, dimensions=4)
+    assert str(embedder.embed(F.col("content"))._jc).count("lower(content)") == 1
+    assert one(spark, scoring.l2_normalize(F.array(F.lit(3.0), F.lit(4.0)))) == pytest.approx([0.6, 0.8])
+    assert one(spark, scoring.l2_normalize(F.array(F.lit(0.0), F.lit(0.0)))) == [0.0, 0.0]
+    odd = F.lit("A_b x 12 a1 1a İx " + "z" * 49 + " " + "y" * 50 + " " + "w" * 51 + " é-ok")
+    assert one(spark, tx.embedding_tokens(odd)) == ["a_b", "12", "a1", "1a", "z" * 49, "ok"]
+    assert one(spark, tx.bm25_tokens(odd)) == ["a1", "1a", "z" * 49, "y" * 50, "ok"]
+    assert one(spark, tx.bm25_tokens(F.lit(None).cast("string"))) is None
