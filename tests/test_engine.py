@@ -1,6 +1,7 @@
 import base64
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,16 @@ def test_chunks(spark):
     assert [(r.start_line, r.symbols) for r in small] == [(1, ["f"])]  # a small file isn't lost
 
 
+def test_rows_go_on_in_bounded_pieces(spark):
+    """What a Python worker holds doesn't grow with the Arrow batch."""
+    text = "some plain words\n" * 6000  # some 100,000 characters
+    batch = pa.RecordBatch.from_pydict({"path": [f"f{i}.ts" for i in range(50)], "content": [text] * 49 + [None], "language": ["typescript"] * 50})
+    for make in (extract.line_chunks_of, extract.cast_chunks_of):
+        got = list(extract._in_pieces(lambda p, c, lang, make=make: make(p, c or "", lang), 1, extract.CHUNKS)(iter([batch])))
+        assert max(sum(map(len, b["content"].to_pylist())) for b in got if b.num_rows) <= extract.PIECE_CHARS + len(text)
+        assert [r for b in got for r in b.to_pylist()] == [r for p, c, lang in zip(*batch.to_pydict().values()) for r in make(p, c or "", lang)]
+
+
 def test_descriptions_and_entry_points(spark):
     d = spark.createDataFrame([("// Says hello\nx",), ("x",)], "c string").select(extract.description(F.col("c")).alias("d")).collect()
     assert [r.d for r in d] == ["Says hello", None]
