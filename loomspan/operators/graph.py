@@ -482,7 +482,9 @@ def base_type(c: Column) -> Column:
 
 def usage_stats(symbols: DataFrame, calls: DataFrame, type_refs: DataFrame) -> DataFrame:
     """(name, calls, type_uses, instantiations, files, dependents, dependencies): how each symbol is used. Dependents are
-    symbols that call it, dependencies those that it calls."""
+    symbols that call it, dependencies those that it calls. Both tables are read several times, and are written first: they
+    may be made by parsing."""
+    symbols, calls = cut(symbols.select("name", "kind").distinct()), cut(calls.select("file_path", "callee", "caller"))
     called = calls.select(F.substring_index("callee", ".", -1).alias("name"), "file_path", F.lit("calls").alias("w"))
     made = instantiations(calls, symbols).select(F.col("callee").alias("name"), "file_path", F.lit("instantiations").alias("w"))
     typed = type_refs.select(base_type(F.col("type_name")).alias("name"), "file_path", F.lit("type_uses").alias("w"))

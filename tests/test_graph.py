@@ -127,3 +127,22 @@ def test_symbol_tracking(spark):
     stats = {r.name: (r.calls, r.type_uses, r.instantiations, r.files) for r in graph.usage_stats(syms, calls, refs).collect()}
     assert stats == {"User": (1, 1, 1, 2), "run": (3, 0, 0, 2), "idle": (0, 0, 0, 0)}
     assert [r.line for r in graph.type_users(refs, "User").collect()] == [3]
+
+
+def test_usage_stats_reads_what_is_parsed_once(spark, tmp_path):
+    log = tmp_path / "runs"
+
+    def made(name):
+        def run(batches):
+            with log.open("a") as f:
+                f.write(f"{name}\n")
+            yield from batches
+
+        return run
+
+    syms = spark.createDataFrame([("a.ts", "f", "function"), ("a.ts", "C", "class")], "file_path string, name string, kind string").coalesce(1)
+    calls = spark.createDataFrame([("a.ts", "x.f", "C"), ("b.ts", "C", "f")], "file_path string, callee string, caller string").coalesce(1)
+    refs = spark.createDataFrame([], "file_path string, line int, type_name string")
+    got = graph.usage_stats(syms.mapInArrow(made("symbols"), syms.schema), calls.mapInArrow(made("calls"), calls.schema), refs).collect()
+    assert {(r.name, r.calls, r.instantiations, r.dependents, r.dependencies) for r in got} == {("f", 1, 0, 1, 1), ("C", 1, 1, 1, 1)}
+    assert sorted(log.read_text().split()) == ["calls", "symbols"]
