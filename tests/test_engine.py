@@ -393,3 +393,12 @@ def test_components_and_hops_against_brute_force(spark):
     for most in (None, 0, 1, 5):
         rows = graph.khop(pairs, spark.createDataFrame([(ids[0],)], "id string"), most).collect()
         assert {r.id: r.depth for r in rows} == {k: v for k, v in depth.items() if most is None or v <= most} and len(rows) == len({r.id for r in rows})
+
+
+def test_functions_are_joined_without_broadcast(spark):
+    """Sizes of parsed rows and of texts are misjudged, so neither side may be broadcast by its estimate."""
+    files = spark.createDataFrame([("f.ts", "export function f(x) {\n  return x;\n}\n")], "path string, content string")
+    rows = extract.function_rows(extract.symbols(files), files)
+    assert [(r.name, r.body) for r in rows.collect()] == [("f", "export function f(x) {\n  return x;\n}")]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
